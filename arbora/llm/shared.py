@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs: its cleaner acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality of ``keys``."""
     out = F.lit(True)
