@@ -12,6 +12,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """A public vocabulary file; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    out = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -26,8 +42,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode_digests
+
+    out = encode_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op5_minhash, op8_substring_dedup, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
