@@ -28,6 +28,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules(_table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -50,7 +57,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_minhash, op8_substring_dedup, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_packing, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
