@@ -56,8 +56,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_packing, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
