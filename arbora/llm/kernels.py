@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text that one pass of the kernels takes, unless a single text is longer.
 CHUNK_BYTES = 2_000_000
+#: Texts that one pass takes at most.
+CHUNK_ROWS = 4096
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -106,7 +108,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[sl
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+        j = min(i + CHUNK_ROWS, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
         yield slice(i, j), data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

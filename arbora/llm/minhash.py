@@ -18,6 +18,8 @@ from .shared import components, dropped, joined_by_key, written
 
 #: Bands and coordinates a band: a pair of similarity 0.85 is missed with probability 4e-7, one of 0.8 with 4e-5.
 BANDS, ROWS = 25, 5
+#: 64-bit words of a set's bitmap, which bounds intersections from above.
+BITMAP = 16
 _ROUND = np.uint64(0x632BE59BD9B4E019)
 _ROUNDS = mix(np.arange(1, 1025, dtype=np.uint64) * _ROUND)
 
@@ -56,7 +58,8 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: int, t: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, text: str, ident: str, k: int, bands: int, rows: int) -> DataFrame:
-    """Per document: id, n_shingles, two 64-bit fingerprints of its shingle set, and a hash for each band."""
+    """Per document: id, n_shingles, two 64-bit fingerprints of its shingle set, a hash for each band, and a bitmap in
+    which every shingle sets one bit."""
 
     def run(batches):
         for batch in batches:
@@ -72,11 +75,13 @@ def sketch_table(docs: DataFrame, text: str, ident: str, k: int, bands: int, row
                 b = np.zeros((n, bands), np.uint64)
                 for r in range(rows):
                     b = mix(b + s[:, :, r])
-                flat = pa.array(b.reshape(-1).view(np.int64))
-                off = pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(sizes, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(off, flat)], ["id", "n_shingles", "f1", "f2", "bands"])
+                bits = np.zeros(n * BITMAP * 64, bool)
+                bits[doc * (BITMAP * 64) + (mix(h ^ _ROUNDS[0]) % np.uint64(BITMAP * 64)).astype(np.int64)] = True
+                flat, bits = pa.array(b.reshape(-1).view(np.int64)), pa.array(np.packbits(bits).view(np.int64))
+                off, off2 = (pa.array(np.arange(0, n * w + 1, w, dtype=np.int32)) for w in (bands, BITMAP))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(sizes, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(off, flat), pa.ListArray.from_arrays(off2, bits)], ["id", "n_shingles", "f1", "f2", "bands", "bits"])
 
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -128,12 +133,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     buckets = first.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = written(buckets, "buckets")
     many = buckets.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    crowd = written(joined_by_key(buckets, many, ["band", "bucket"], "members", total), "crowd")
+    crowd = joined_by_key(buckets, many.withColumn("crowd", F.col("members")), ["band", "bucket"], "members", total)
+    crowd = written(crowd.withColumnRenamed("crowd", "members"), "crowd")
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
     tried = written(crowd.select(F.col("pivot").alias("a"), F.col("id").alias("b")).filter("a < b").distinct(), "tried")
     links.append(written(verified(tried, texts, k, percent).distinct(), "links"))
     comp = components(links[1])
-    apart = _apart(crowd, comp, tried)
+    apart = _apart(crowd, comp, tried, full, percent)
     if not apart.isEmpty():
         links.append(written(verified(apart, texts, k, percent).distinct(), "links"))
     edges = links[0]
@@ -146,17 +152,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
 
 
-def _apart(crowd: DataFrame, comp: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that haven't been verified: members not linked to their bucket's
-    pivot, each against the bucket's members of other components."""
+def _apart(crowd: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components that haven't been verified and may be links: members not linked to
+    their bucket's pivot, each against the bucket's members of other components.
+
+    A bit that one set's bitmap has and the other's lacks proves an element that isn't shared, so the bitmaps bound the
+    similarity from above; pairs bounded below the threshold are no links and are not made.
+    """
     names = comp.select(F.col("node").alias("id"), "component")
     known = crowd.join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     pivots = comp.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
     known = known.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
     known = written(known, "known")
-    odd = known.filter("component <> main").select("band", "bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    left = known.filter("id <> pivot").join(odd, ["band", "bucket"]).filter("component <> cx")
-    left = left.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-    out = written(left.join(tried, ["a", "b"], "left_anti"), "apart")
-    dropped(known)
-    return out
+    odd = known.filter("component <> main").groupBy("band", "bucket").agg(F.max("members").alias("members"))
+    known = joined_by_key(known.drop("members"), odd, ["band", "bucket"], "members", crowd.count())
+    bits = sets.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "bits")
+    known = written(known.join(bits.hint("merge"), "id"), "known")
+    x = known.filter("component <> main").select("band", "bucket", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "bits")))
+    only = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(BITMAP)), F.lit(0))
+    most = F.least(F.col("n") - only("bits", "x_bits"), F.col("x_n") - only("x_bits", "bits"))
+    may = (F.col("component") != F.col("x_component")) & (most * (100 + percent) >= (F.col("n") + F.col("x_n")) * percent)
+    left = known.filter("id <> pivot").join(x.hint("merge"), ["band", "bucket"]).filter(may)
+    left = left.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+    return written(left.join(tried, ["a", "b"], "left_anti"), "apart")
