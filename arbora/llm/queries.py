@@ -28,6 +28,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -63,7 +69,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
