@@ -34,6 +34,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import duplicate_lines
+
+    out = duplicate_lines(_table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id").withColumnRenamed("class_id", "class_doc_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -69,7 +76,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:

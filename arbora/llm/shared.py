@@ -57,8 +57,9 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed`` (one row a key; ``count`` says how many ``rows`` have it), safe under skew.
+def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``keyed`` (one row a key; ``count`` says how many ``rows`` have it), safe
+    under skew.
 
     Keys with more than ``total / HOT_PARTS`` rows number fewer than HOT_PARTS, so they are broadcast and their rows
     never move; every other key is small against a partition and goes through a shuffled join.
@@ -67,7 +68,7 @@ def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str
     hot = keyed.filter(F.col(count) > limit).drop(count)
     cold = keyed.filter(F.col(count) <= limit).drop(count)
     out = rows.join(F.broadcast(hot), keys)
-    return out.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
+    return out.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how))
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
