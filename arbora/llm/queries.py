@@ -55,6 +55,22 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, write_archives
+
+    pages = _table(spark, sf_dir, "pages")
+    folder = archive_folder(pages)
+    records = read_archives(write_archives(pages, folder), folder)
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -76,7 +92,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_minhash, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_minhash, op6_vp_trees, op7_warc, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
