@@ -13,7 +13,6 @@ import html
 import re
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +22,8 @@ from .shared import dropped, joined_by_key, written
 
 #: Part of a host's pages that a token of its template is on, and the pages from which a host's fixed text is believed.
 SUPPORT, FIXED_SUPPORT, FIXED_PAGES = 0.5, 0.95, 10
+#: Occurrence vectors' sums are taken modulo this, so that they can be added up in a long over many batches.
+VECTOR = 1 << 40
 #: Part of the varying text that a slot must hold to be entered.
 SHARE = 0.6
 #: Part of a host's pages under which a path takes no part in choosing the slot.
@@ -165,14 +166,12 @@ def _tokens(pages: DataFrame) -> DataFrame:
                         a, b = chars.get(t, (0, 0))
                         x[0] += n
                         x[1] += 1
-                        x[2] = (x[2] + sign * n) % 2**64
+                        x[2] = (x[2] + sign * n) % VECTOR
                         x[3] += a * n
                         x[4] += b * n
                 cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [[]] * 9
-                vector = np.array(cols[6], np.uint64).view(np.int64)
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), None, pa.int64(), pa.int64()]
-                arrays = [pa.array(vector, pa.int64()) if k is None else pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["host", "path", "token", "is_text", "n", "pages", "vector", "chars", "links"])
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "token", "is_text", "n", "pages", "vector", "chars", "links"])
 
     return pages.mapInArrow(run, "host string, path string, token long, is_text boolean, n long, pages long, vector long, chars long, links long")
 
@@ -201,7 +200,7 @@ def _main_slot(rows: pd.DataFrame) -> pd.DataFrame:
 
 def deduced_templates(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
     """Per host: its pages, the path of the article's slot, and the hashes of its fixed text blocks."""
-    merged = tokens.groupBy("host", "path", "token", "is_text").agg(F.sum("pages").alias("on"), F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    merged = tokens.groupBy("host", "path", "token", "is_text").agg(F.sum("pages").alias("on"), F.sum("n").alias("n"), F.pmod(F.sum("vector"), F.lit(VECTOR)).alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     # a class: tokens of a host with one occurrence vector; it is valid if it is frequent and its tokens come once a page
     classes = merged.filter("on > 1 and n = on").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("on").alias("support"))
     classes = classes.join(hosts, "host").filter(F.col("support") >= SUPPORT * F.col("host_pages")).select("host", "vector", "size", "support", "host_pages")
