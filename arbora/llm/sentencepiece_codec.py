@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Entries of one generation of the cache of segments; two generations are held.
-CACHE = 150_000
+CACHE = 250_000
+#: Letters and signs between which a text may be cut before segmentation, where the vocabulary has no piece over both.
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]", "\n\t!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -84,7 +86,10 @@ class Codec:
         self.odd = {i for i, k in enumerate(self.kinds) if k != NORMAL}
         self.unk_surface = model.trainer_spec.unk_surface
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.split = re.compile(".+" if crosses else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
+        # between a letter and a sign that no piece joins, either way round, no merge ever happens
+        signs = "".join(c for c in SIGNS if not any(re.search(f"{LETTERS}{re.escape(c)}|{re.escape(c)}{LETTERS}", p) for p in self.ids if c in p))
+        apart = f"{SPACE}*{LETTERS}+(?=[{SPACE}{re.escape(signs)}]|\\Z)|{SPACE}*[{re.escape(signs)}]+(?=[{SPACE}{LETTERS[1:]}|\\Z)|" if signs else ""
+        self.split = re.compile(".+" if crosses else f"{apart}{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.plain = not self.map.units and not self.trim and self.escape
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
