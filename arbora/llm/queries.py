@@ -12,19 +12,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
     """A public vocabulary file; its place is a parameter of the operators."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_pattern() -> str:
     import public_tokenizers
 
+    return public_tokenizers.PATTERN
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    out = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    out = pack(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_pattern())
     return out.withColumnRenamed("id", "doc_id")
 
 
@@ -81,7 +88,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_digests
 
-    out = encode_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    out = encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
     return out.withColumnRenamed("id", "doc_id")
 
 

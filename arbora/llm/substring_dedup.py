@@ -156,3 +156,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", l
     out = table.drop("anchors").alias("t").join(cut.hint("merge").alias("c"), same(table, cut, ["id", "th"]), "left")
     cols = [F.col("t.id").alias("id"), "t.n_words", F.coalesce("c.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.lower(F.hex(F.coalesce("c.left_sha", "t.sha"))).alias("kept_sha256")]
     return out.select(*cols, *([F.col("t.th").alias("th"), F.col("c.text").alias("text")] if keep_text else []))
+
+
+def cut_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with the words that ``remove_repeats`` removes cut out of the texts; documents whose words all go, go too.
+
+    What separates two kept words stays as it was; columns stay as they are.
+    """
+    changed = remove_repeats(docs, text, ident, length, seed, keep_text=True).filter("n_removed > 0")
+    changed = written(changed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("text").alias("_text"), (F.col("n_words") == F.col("n_removed")).alias("_gone")).distinct(), "changed")
+    released(docs.sparkSession)
+    keyed = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string")))
+    on = keyed[ident].cast("long").eqNullSafe(changed["_id"]) & keyed["_h"].eqNullSafe(changed["_th"])
+    out = keyed.join(changed.hint("merge"), on, "left").filter("_gone is null or not _gone")
+    return out.withColumn(text, F.coalesce("_text", text)).select(*docs.columns)
