@@ -3,11 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arbora.llm.queries import TOKENIZER, tokenizer_path, tokenizer_pattern
 from arbora.llm.shared import written
 
-STAGES: list = []
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5, whole.  The model is fitted on all documents of this stage and on labels."""
+    from arbora.llm.toxicity import fit, score
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(docs, fit(docs, labels)).filter("score < 0.5").drop("score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one nearly; those that lose all their text go."""
+    from arbora.llm.line_dedup import without_duplicate_lines
+
+    return _counted(without_duplicate_lines(docs))
+
+
+def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id; repeated rows become one."""
+    from arbora.llm.minhash import near_duplicates
+
+    gone = written(near_duplicates(docs).filter("not kept").select(F.col("id").alias("doc_id")).distinct(), "near")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeated windows of 35 words cover; those that lose all their words go."""
+    from arbora.llm.substring_dedup import cut_repeats
+
+    return _counted(cut_repeats(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    from arbora.llm.packing import pack
+
+    return pack(docs, tokenizer_path(TOKENIZER), tokenizer_pattern()).withColumnRenamed("id", "doc_id")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash", minhash), ("substring_dedup", substring_dedup), ("packing", packing)]
+
+#: SQL expresses neither the scores nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
