@@ -39,10 +39,12 @@ SUBSTITUTED, REPEATED, DOUBLED, SEPARATED, DROPPED, MASKED = 1.0, 0.7, 2.5, 0.2,
 MASKS = "*#%"
 
 _SIGNS = "".join(map(re.escape, LOOKALIKES))
-_MIXED = re.compile(rf"(?<![^\s\"'.,;:?*_-])(?=[^\s]*[^\W\d_])(?=[^\s]*[{_SIGNS}])[\w{_SIGNS}*.\-]{{3,{LONGEST}}}")
+_SIGN = re.compile(f"[{_SIGNS}]+")
+_TOKEN = re.compile(rf"[\w{_SIGNS}*.\-]{{3,{LONGEST}}}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[" + _SIGNS + r"])(?:[ .\-_*]{1,2}(?:[^\W_]|[" + _SIGNS + r"])){2,20}(?![^\W_])")
+_JOINT = re.compile(r"(?<=[^\W_])[.\-_*]+(?=[^\W_])")
 _INSIDE = re.compile(r"[^\W_]+(?:[.\-_*]+[^\W_]+)+")
-_REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TAIL = re.compile(r"(?:[!|+(<.\-*_]|([^\w\s])\1+)+$")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -151,19 +153,35 @@ class Decoder:
         return min((cost + costs[(a * n + b) * n], path) for (a, b), (cost, path) in states.items())[1]
 
 
+def _around(text: str, places) -> set[str]:
+    """The pieces between white space that hold one of ``places`` (matches in order), cut to what one stretch may span."""
+    out, end = set(), 0
+    for m in places:
+        if m.start() < end:
+            continue
+        i, j = m.start(), m.end()
+        low, high = max(0, i - LONGEST), min(len(text), j + LONGEST)
+        left, right = text[low:i].split(), text[j:high].split()
+        i -= len(left[-1]) if left and not text[i - 1].isspace() else 0
+        end = j + (len(right[0]) if right and not text[j].isspace() else 0)
+        out.add(text[i:end])
+    return out
+
+
 def stretches(text: str) -> set[str]:
     """The suspicious stretches of a folded text."""
     out = set()
-    if any(c in text for c in LOOKALIKES):
-        for m in _MIXED.finditer(text):
+    for piece in _around(text, _SIGN.finditer(text)):
+        for m in _TOKEN.finditer(piece):
             s = _TAIL.sub("", m[0].strip(".-*_"))
-            if len(set(s) - set("0123456789.-")) > 1:
+            if any(c.isalpha() for c in s) and any(c in LOOKALIKES for c in s):
                 out.add(s)
     out.update(m[0] for m in _SPACED.finditer(text))
-    if "*" in text or "." in text or "-" in text or "_" in text:
-        out.update(m[0] for m in _INSIDE.finditer(text) if len(m[0]) <= LONGEST)
-    out.update(m[0] for m in _REPEAT.finditer(text) if len(m[0]) <= LONGEST)
-    return {s for s in out if len(s) > 2 and not (s.isalpha() and not _REPEAT.search(s))}
+    for piece in _around(text, _JOINT.finditer(text)):
+        out.update(m[0] for m in _INSIDE.finditer(piece) if len(m[0]) <= LONGEST)
+    for piece in _around(text, _TRIPLE.finditer(text)):
+        out.update(w for w in _WORD.findall(piece) if len(w) <= LONGEST and _TRIPLE.search(w))
+    return {s for s in out if len(s) > 2 and not (s.isalpha() and not _TRIPLE.search(s))}
 
 
 def features(text: str | None, decoder: Decoder) -> set[str]:
