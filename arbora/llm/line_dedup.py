@@ -9,6 +9,7 @@ what is left of each line without the common segment is within ``edits`` again,
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,15 @@ from .shared import components, dropped, joined_by_key, released, written
 
 #: Edits between near-duplicate lines, and the characters of the shortest line that takes part.
 EDITS, SHORTEST = 2, 20
-#: Pairs of a bucket above which it is split by another segment.
-BUCKET_PAIRS = 1024
+#: Pairs of a bucket above which it is split by another segment, and classes of characters whose counts bound edits.
+BUCKET_PAIRS, CLASSES = 65_536, 24
+
+
+_H = xxhash.xxh3_64_intdigest
 
 
 def _hash(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - 2**63
+    return _H(x.encode("utf-8", "surrogatepass")) - 2**63
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -38,28 +42,39 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
+def _seed(context: int, length: int, segment: int) -> int:
+    return (context * 0x9E3779B97F4A7C15 + length * 64 + segment + 1) % 2**64
+
+
 def index_keys(text: str, context: int, edits: int) -> list[tuple[int, int, int]]:
     """(key, begin, end) of each segment of ``text``."""
-    n = len(text)
-    return [(_hash(f"{context}|{n}|{i}|{text[a : a + s]}"), a, a + s) for i, (a, s) in enumerate(segments(n, edits))]
+    n, data = len(text), text.encode("utf-32-le", "surrogatepass")
+    return [(_H(data[4 * a : 4 * (a + s)], _seed(context, n, i)) - 2**63, a, a + s) for i, (a, s) in enumerate(segments(n, edits))]
 
 
-def probe_keys(text: str, context: int, edits: int) -> list[tuple[int, int, int]]:
-    """(key, begin, end) of each substring of ``text`` that may equal a segment of a string up to ``edits`` shorter.
+def probe_keys(text: str, context: int, edits: int, own: bool = True) -> list[tuple[int, int, int]]:
+    """(key, begin, end) of each substring of ``text`` that may equal a segment of a string up to ``edits`` shorter;
+    without those that are its ``index_keys``, unless ``own``.
 
     Segment i of the shorter string lies at its own place shifted by at most the edits to its left, which are at most
     i, and by the length difference plus at most the edits to its right, which are at most edits - i.
     """
-    out = []
-    for shorter in range(max(0, len(text) - edits), len(text) + 1):
-        d = len(text) - shorter
+    out, data, n = [], text.encode("utf-32-le", "surrogatepass"), len(text)
+    for shorter in range(max(0, n - edits), n + 1):
+        d = n - shorter
         for i, (a, s) in enumerate(segments(shorter, edits)):
-            low = max(a - i, a + d - (edits - i), 0)
-            high = min(a + i, a + d + (edits - i), len(text) - s)
-            out += [(_hash(f"{context}|{shorter}|{i}|{text[b : b + s]}"), b, b + s) for b in range(low, high + 1)]
+            seed = _seed(context, shorter, i)
+            for b in range(max(a - i, a + d - (edits - i), 0), min(a + i, a + d + (edits - i), n - s) + 1):
+                if own or d or b != a:
+                    out.append((_H(data[4 * b : 4 * (b + s)], seed) - 2**63, b, b + s))
     return out
 
 
+def histogram(text: str) -> list[int]:
+    """Counts of the characters of ``text`` by class: an edit takes one from a class, adds one to a class, or both."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES, minlength=CLASSES).tolist()
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """The edit distance of two strings, or ``most + 1`` if it is larger; a band of diagonals is held in one integer."""
     if len(a) < len(b):
@@ -132,9 +147,8 @@ def _occurrences(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
                         ids.append(i)
                         numbers.append(k)
                         hs.append(h)
-                        own = {x[0] for x in index_keys(line, 0, edits)} if new else set()
-                        index.append(list(own))
-                        probe.append(list({x[0] for x in probe_keys(line, 0, edits)} - own) if new else [])
+                        index.append([x[0] for x in index_keys(line, 0, edits)] if new else [])
+                        probe.append([x[0] for x in probe_keys(line, 0, edits, own=False)] if new else [])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hs, pa.int64()), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))], ["id", "line_no", "h", "index", "probe"])
 
     return docs.mapInArrow(run, "id long, line_no int, h long, index array<long>, probe array<long>")
@@ -194,10 +208,23 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return one.filter("lo < hi and ni > 0").select("key", "places", (F.col("ni") * F.col("places")).alias("pairs"))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    left = members.filter("indexed").select("key", F.col("h").alias("x"))
-    both = left.join(members.select("key", F.col("h").alias("y")).hint("merge"), "key").filter("x <> y")
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _pairs(members: DataFrame, counts: DataFrame, edits: int) -> DataFrame:
+    """The pairs of each key's indexed lines with its other lines; pairs whose character counts (``counts``: h, hist)
+    differ by more than ``edits`` either way are farther apart and are not made."""
+    rows = members.select("key", "h", "indexed").distinct().join(counts.hint("merge"), "h")
+    left = rows.filter("indexed").select("key", F.col("h").alias("x"), F.col("hist").alias("hist_x"))
+    more = lambda a, b: sum((F.greatest(F.col(a)[i] - F.col(b)[i], F.lit(0)) for i in range(CLASSES)), F.lit(0))
+    near = (F.col("x") != F.col("h")) & (more("hist", "hist_x") <= edits) & (more("hist_x", "hist") <= edits)
+    both = left.join(rows.drop("indexed").hint("merge"), "key").filter(near)
+    return both.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).distinct()
+
+
+def _histograms(lines: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([histogram(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["h", "hist"])
+
+    return lines.select("h", "line").mapInArrow(run, "h long, hist array<int>")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -226,7 +253,8 @@ def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) ->
     lines = _texts(docs, shortest).join(members.select("h").distinct().hint("merge"), "h").groupBy("h").agg(F.min("line").alias("line"))
     lines = written(lines, "lines")
     released(spark)
-    found = [written(_pairs(members.filter(F.col("pairs") <= BUCKET_PAIRS)), "pairs")]
+    counts = written(_histograms(lines), "counts")
+    found = [written(_pairs(members.filter(F.col("pairs") <= BUCKET_PAIRS), counts, edits), "pairs")]
     crowd = members.filter(F.col("pairs") > BUCKET_PAIRS)
     crowd = written(crowd.join(lines.withColumnRenamed("line", "rest").hint("merge"), "h").withColumn("context", F.lit(0).cast("long")), "crowd")
     while not crowd.isEmpty():
@@ -234,13 +262,13 @@ def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) ->
         buckets = written(_buckets(finer), "buckets")
         finer = joined_by_key(finer, buckets, ["key"], "places", finer.count())
         done = (F.col("pairs") <= BUCKET_PAIRS) | (F.length("rest") <= edits)
-        found.append(written(_pairs(finer.filter(done)), "pairs"))
+        found.append(written(_pairs(finer.filter(done), counts, edits), "pairs"))
         crowd = written(finer.filter(~done), "crowd")
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
     links = written(_verified(pairs.distinct(), lines, edits), "links")
-    dropped(members, lines, *found)
+    dropped(members, lines, counts, *found)
     released(spark)
     return links
 
@@ -263,8 +291,9 @@ def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     own = places.groupBy("h").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
     own = own.join(comp.hint("merge"), "h", "left").join(degree.hint("merge"), "h", "left").filter("copies > 1 or class is not null")
     own = written(own, "classes")
-    heads = own.filter("class is not null").groupBy("class").agg(F.min("first").alias("head"))
-    own = own.join(heads.hint("merge"), "class", "left").select("h", "copies", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    heads = own.filter("class is not null").groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("lines"))
+    own = joined_by_key(own, heads, ["class"], "lines", own.count(), how="left")
+    own = own.select("h", "copies", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     own = written(own, "heads")
     total = places.count()
     known = joined_by_key(places.select("id", "line_no", "h"), own, ["h"], "copies", total, how="left")

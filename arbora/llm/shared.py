@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +45,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs: its cleaner acts when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark remove the shuffle files of finished jobs.  Its cleaner acts when the driver's JVM collects garbage, and
+    needs a second round for what the first one lets go of."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
