@@ -1 +1 @@
-
+"""Whole pipelines built from the operators."""
