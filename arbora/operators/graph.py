@@ -13,14 +13,17 @@ FACES = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 ALL_HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
+_OWN: dict[str, str] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that the cluster shares (spark.checkpoint.dir; a temporary one where it is unset) and
     read again: loops neither grow lineage nor depend on one executor."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="arbora-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        key = spark.sparkContext.applicationId
+        root = _OWN.setdefault(key, _OWN.get(key) or tempfile.mkdtemp(prefix="arbora-"))
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,10 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
+def local_session(cores: int | str = 8, memory: str = "8g", partitions: int | None = None, shared: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, pass your own session instead."""
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", f"--driver-memory {memory} pyspark-shell")
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("arbora")
         .config("spark.ui.enabled", "false")
@@ -18,5 +18,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int | No
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
