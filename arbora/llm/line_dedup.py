@@ -203,9 +203,11 @@ def _split(members: DataFrame, edits: int) -> DataFrame:
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
-    """Keys that an indexed line and another line have: key, places (rows), pairs (at most so many)."""
-    one = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("places"), F.sum(F.col("indexed").cast("long")).alias("ni"))
-    return one.filter("lo < hi and ni > 0").select("key", "places", (F.col("ni") * F.col("places")).alias("pairs"))
+    """Keys that an indexed line and another line have: key, places (rows), pairs (at most so many), least (characters
+    of the shortest rest)."""
+    rest = F.length("rest") if "rest" in keyed.columns else F.lit(None).cast("int")
+    one = keyed.groupBy("key").agg(F.min(rest).alias("least"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("places"), F.sum(F.col("indexed").cast("long")).alias("ni"))
+    return one.filter("lo < hi and ni > 0").select("key", "places", (F.col("ni") * F.col("places")).alias("pairs"), "least")
 
 
 def _pairs(members: DataFrame, counts: DataFrame, edits: int) -> DataFrame:
@@ -260,8 +262,8 @@ def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) ->
     while not crowd.isEmpty():
         finer = written(_split(crowd, edits), "finer")
         buckets = written(_buckets(finer), "buckets")
-        finer = joined_by_key(finer, buckets, ["key"], "places", finer.count())
-        done = (F.col("pairs") <= BUCKET_PAIRS) | (F.length("rest") <= edits)
+        finer = joined_by_key(finer, buckets, ["key"], "places", finer.count())  # a bucket goes on or ends as a whole
+        done = (F.col("pairs") <= BUCKET_PAIRS) | (F.col("least") <= edits)
         found.append(written(_pairs(finer.filter(done), counts, edits), "pairs"))
         crowd = written(finer.filter(~done), "crowd")
     pairs = found[0]
@@ -292,8 +294,10 @@ def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     own = own.join(comp.hint("merge"), "h", "left").join(degree.hint("merge"), "h", "left").filter("copies > 1 or class is not null")
     own = written(own, "classes")
     heads = own.filter("class is not null").groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("lines"))
-    own = joined_by_key(own, heads, ["class"], "lines", own.count(), how="left")
-    own = own.select("h", "copies", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    heads = written(heads, "class-heads")
+    linked = joined_by_key(own.filter("class is not null"), heads, ["class"], "lines", own.count())
+    own = linked.unionByName(own.filter("class is null").withColumn("head", F.col("first")))
+    own = own.select("h", "copies", "head", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     own = written(own, "heads")
     total = places.count()
     known = joined_by_key(places.select("id", "line_no", "h"), own, ["h"], "copies", total, how="left")
