@@ -181,7 +181,7 @@ def stretches(text: str) -> set[str]:
         out.update(m[0] for m in _INSIDE.finditer(piece) if len(m[0]) <= LONGEST)
     for piece in _around(text, _TRIPLE.finditer(text)):
         out.update(w for w in _WORD.findall(piece) if len(w) <= LONGEST and _TRIPLE.search(w))
-    return {s for s in out if len(s) > 2 and not (s.isalpha() and not _TRIPLE.search(s))}
+    return {s for s in out if len(s) > 2 and any(c.isalpha() for c in s) and not (s.isalpha() and not _TRIPLE.search(s))}
 
 
 def features(text: str | None, decoder: Decoder) -> set[str]:

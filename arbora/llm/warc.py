@@ -94,7 +94,7 @@ class ArchiveWriter:
         self.compress = params.compress
         # a name of its own for every attempt of a task: what a lost attempt leaves isn't in any manifest
         self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         self.bytes = self.out.write(struct.pack("<II", SKIPPABLE, len(data)) + data) or 8 + len(data)
         self.records = 0
         waiting, self.waiting, self.held = self.waiting, [], 0
@@ -200,7 +200,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out, size, n = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for headers, block in read_records(stream):
                         out.append(_row(headers, block))
                         size, n = size + len(block), n + 1
