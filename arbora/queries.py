@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as g
 from .operators import graph, kernels, mesh, metrics, polyline, spatial, tree, volume
-from .plans import assembly, centerline
+from .plans import assembly, centerline, tracing
+from .plans.config import preset
 from .sources import phantoms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,6 +217,27 @@ def plan_segmentation(spark, sf_dir):
     return assembly.segmentation(p, phantoms.patch_voxels(p), seeds, (24, 12, 12)).select("x", "y", "z")
 
 
+@query("WITH g AS (SELECT (range % 40)::INT x, ((range // 40) % 24)::INT y, (range // 960)::INT z FROM range(11520)), o AS (SELECT *, greatest(x - 20, 0) * 0.4::DOUBLE f FROM g) SELECT x, y, z FROM o WHERE (y - (12 + f))^2 + (z - 6)^2 <= 6.5 OR (y - (12 - f))^2 + (z - 6)^2 <= 6.5")
+def plan_trace_covers(spark, sf_dir):
+    """The voxels that a trace from one seed covers: all of the Y."""
+    mask = phantoms.y_shape(spark).withColumn("case", F.lit("y"))
+    seed = spark.createDataFrame([("y", 0.0, 12.0, 6.0, 2.0, 12.0, 6.0, 2.5)], "case string, old_x double, old_y double, old_z double, x double, y double, z double, radius double")
+    steps = graph.stored(tracing.trace(mask, seed, (40, 24, 12), preset("global_seg")), "steps")
+    return tracing.assembled_trace(steps, mask).select("x", "y", "z")
+
+
+@query()
+def plan_trace_steps(spark, sf_dir):
+    mask = phantoms.y_shape(spark).withColumn("case", F.lit("y"))
+    seed = spark.createDataFrame([("y", 0.0, 12.0, 6.0, 2.0, 12.0, 6.0, 2.5)], "case string, old_x double, old_y double, old_z double, x double, y double, z double, radius double")
+    return tracing.trace(mask, seed, (40, 24, 12), preset("global_seg"))
+
+
+@query()
+def plan_seeds_of_bodies(spark, sf_dir):
+    return tracing.seeds_of_bodies(phantoms.blobs(spark), (12, 12, 12))
+
+
 # components
 
 

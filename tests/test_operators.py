@@ -65,8 +65,8 @@ def test_assembly_order_does_not_matter(spark):
 def test_components_of_a_long_path_and_of_nothing(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    out = graph.label_components(spark.range(n + 1).withColumnRenamed("id", "node"), edges).toPandas().set_index("node")["component"]
-    assert (out[:n] == 0).all() and out[n] == n
+    out = graph.label_components(spark.range(n + 1).withColumnRenamed("id", "node"), edges).toPandas().set_index("node")["component"].sort_index()
+    assert (out.loc[: n - 1] == 0).all() and out.loc[n] == n
     assert graph.label_components(spark.range(2).withColumnRenamed("id", "node"), edges.limit(0)).count() == 2
     with pytest.raises(ValueError):
         graph.voxel_components(phantoms.blobs(spark), (12, 12, 12), 18)
@@ -149,3 +149,23 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("assembled").toPandas().sort_values(["x", "y", "z"])
     want = volume.assembled(p, phantoms.patch_voxels(p)).toPandas().sort_values(["x", "y", "z"])
     np.testing.assert_allclose(got["v"], want["v"])
+
+
+def test_trace_finds_one_fork_and_both_arms(spark):
+    from arbora.queries import QUERIES
+
+    steps = QUERIES["plan_trace_steps"](spark, "").toPandas()
+    assert steps["branch_id"].nunique() == 2 and (steps["pos"] == 0).sum() == 1
+    own = steps[steps["pos"] > 0]
+    assert own["step_id"].is_unique and own.groupby("branch_id")["x"].max().min() > 33
+    ends = own.sort_values("pos").groupby("branch_id").last()["y"]
+    assert ends.min() < 8 and ends.max() > 16
+
+
+def test_presets():
+    from arbora.plans.config import PRESETS, preset
+
+    assert preset("global_coro").stop_radius == 0.4 and not preset("global_coro").prevent_retrace
+    assert all(preset(n).as_dict()["add_radius"] >= 0 for n in PRESETS)
+    with pytest.raises(FileNotFoundError):
+        preset("none")
