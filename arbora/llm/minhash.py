@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Words, mix, text_chunks
-from .shared import components, dropped, joined_by_key, written
+from .shared import components, dropped, joined_by_key, released, written
 
 #: Bands and coordinates a band: a pair of similarity 0.85 is missed with probability 4e-7, one of 0.8 with 4e-5.
 BANDS, ROWS = 25, 5
@@ -126,13 +126,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     total = full.count()
     sets = ["n_shingles", "f1", "f2"]
     groups = full.groupBy(*sets).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = joined_by_key(full.select("id", *sets), groups.filter("copies > 1"), sets, "copies", total)
+    groups = written(groups.filter("copies > 1"), "groups")
+    member = joined_by_key(full.select("id", *sets), groups, sets, "copies", total)
     links = [written(member.select(F.col("id").alias("b"), F.col("rep").alias("a")).filter("a < b"), "copies")]
 
     first = full.join(links[0].select(F.col("b").alias("id")), "id", "left_anti")
     buckets = first.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = written(buckets, "buckets")
     many = buckets.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    many = written(many, "many")
+    released(docs.sparkSession)
     crowd = joined_by_key(buckets, many.withColumn("crowd", F.col("members")), ["band", "bucket"], "members", total)
     crowd = written(crowd.withColumnRenamed("crowd", "members"), "crowd")
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null")
@@ -146,7 +149,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     for x in links[1:]:
         edges = edges.unionByName(x)
     comp = components(edges)
-    dropped(buckets, crowd, tried, apart, *links)
+    dropped(groups, buckets, many, crowd, tried, apart, *links)
     out = table.select("id", "n_shingles").join(comp.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
@@ -164,7 +167,7 @@ def _apart(crowd: DataFrame, comp: DataFrame, tried: DataFrame, sets: DataFrame,
     pivots = comp.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
     known = known.join(pivots, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
     known = written(known, "known")
-    odd = known.filter("component <> main").groupBy("band", "bucket").agg(F.max("members").alias("members"))
+    odd = written(known.filter("component <> main").groupBy("band", "bucket").agg(F.max("members").alias("members")), "odd")
     known = joined_by_key(known.drop("members"), odd, ["band", "bucket"], "members", crowd.count())
     bits = sets.dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "bits")
     known = written(known.join(bits.hint("merge"), "id"), "known")

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1024
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="arbora-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        key = spark.sparkContext.applicationId
+        root = _OWN.setdefault(key, _OWN.get(key) or tempfile.mkdtemp(prefix="arbora-"))
     return root
 
 
@@ -62,17 +65,21 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """Inner or left join of ``rows`` with ``keyed`` (one row a key; ``count`` says how many ``rows`` have it), safe
-    under skew.
+    """Inner or left join of ``rows`` with ``keyed`` (a written table of one row a key; ``count`` says how many ``rows``
+    have it), safe under skew.
 
-    Keys with more than ``total / HOT_PARTS`` rows number fewer than HOT_PARTS, so they are broadcast and their rows
-    never move; every other key is small against a partition and goes through a shuffled join.
+    Keys with more than ``total / HOT_PARTS`` rows number fewer than HOT_PARTS: only their hashes reach the driver, they
+    are broadcast, and their rows never move.  Every other key is small against a partition; rows of all others go
+    through a shuffled join.  Without such keys the join is a plain one.
     """
-    limit = total // HOT_PARTS
-    hot = keyed.filter(F.col(count) > limit).drop(count)
-    cold = keyed.filter(F.col(count) <= limit).drop(count)
-    out = rows.join(F.broadcast(hot), keys)
-    return out.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how))
+    place = F.xxhash64(*keys)
+    hot = [r[0] for r in keyed.filter(F.col(count) > total // HOT_PARTS).select(place).distinct().collect()]
+    keyed = keyed.drop(count)
+    if not hot:
+        return rows.join(keyed.hint("merge"), keys, how)
+    is_hot = place.isin(hot)
+    out = rows.filter(is_hot).join(F.broadcast(keyed.filter(is_hot)), keys, how)
+    return out.unionByName(rows.filter(~is_hot).join(keyed.filter(~is_hot).hint("merge"), keys, how))
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
