@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .operators import graph, kernels, mesh, metrics, polyline, spatial, tree, volume
+from .functions import naming
+from .operators import graph, kernels, mesh, metrics, polyline, sampling, spatial, tree, volume
 from .plans import assembly, centerline, tracing
 from .plans.config import preset
 from .sources import phantoms
@@ -610,3 +611,77 @@ def geom_capped_spacing(spark, sf_dir):
 @query("SELECT s_suppkey, (CASE WHEN s_suppkey % 40 < 2 THEN 100 ELSE least(greatest((s_suppkey % 40) * 4 - 3, 8), 100) END)::BIGINT samples FROM supplier")
 def geom_calculation_number(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select("s_suppkey", g.calculation_number(F.col("s_suppkey") % 40).cast("long").alias("samples"))
+
+
+@query("SELECT p_partkey, 'Dataset' || lpad((p_partkey % 1000)::VARCHAR, 4, '0') || '_' || p_brand || upper('ct') AS name, (p_partkey % 1000)::INT number FROM part")
+def name_dataset(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    name = naming.dataset_name(F.col("p_brand"), F.col("p_partkey") % 1000, F.lit("ct"))
+    return p.select("p_partkey", name.alias("name"), naming.dataset_number(name).alias("number"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(u, '([^/]+)$', 1), '(\\.nii\\.gz|\\.[^.]+)$', '') stem, split_part(regexp_replace(regexp_extract(u, '([^/]+)$', 1), '(\\.nii\\.gz|\\.[^.]+)$', ''), '_segmentation_', 1) \"case\" FROM (SELECT page_id, '/d/case' || page_id || '_segmentation_' || (page_id % 7) || CASE WHEN page_id % 2 = 0 THEN '.nii.gz' ELSE '.mha' END u FROM pages)")
+def name_case(spark, sf_dir):
+    i = F.col("page_id")
+    u = F.concat(F.lit("/d/case"), i, F.lit("_segmentation_"), i % 7, F.when(i % 2 == 0, ".nii.gz").otherwise(".mha"))
+    return _table(spark, sf_dir, "pages").select("page_id", naming.file_stem(u).alias("stem"), naming.case_of_segmentation(u).alias("case"))
+
+
+@query("SELECT s_suppkey, greatest(1, round_even((s_suppkey % 90) / (1 + s_suppkey % 4)::DOUBLE, 0))::INT stride, CASE WHEN s_suppkey % 2 = 0 THEN '50' ELSE '5' END reslice, (CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 0.1 END)::DOUBLE scale FROM supplier")
+def name_display(spark, sf_dir):
+    i = F.col("s_suppkey")
+    unit_name = F.when(i % 2 == 0, "mm").otherwise("cm")
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", naming.contour_stride(i % 90, 1 + i % 4).alias("stride"), naming.reslice_size(unit_name).alias("reslice"), naming.unit_scale(unit_name).alias("scale"))
+
+
+@query(f"WITH {TUBE}, p AS (SELECT range i, (range % 30)::DOUBLE - 2.4 x, 6.3::DOUBLE y, (range % 12)::DOUBLE + 0.5 z FROM range(200)) SELECT i, coalesce(v > 0.5, false) inside FROM p LEFT JOIN tube t ON t.x = round_even(p.x, 0) AND t.y = round_even(p.y, 0) AND t.z = round_even(p.z, 0)")
+def sample_inside(spark, sf_dir):
+    i = F.col("id")
+    points = spark.range(200).select(i.alias("i"), ((i % 30).cast("double") - 2.4).alias("x"), F.lit(6.3).alias("y"), ((i % 12).cast("double") + 0.5).alias("z"))
+    return sampling.inside(points, phantoms.tube(spark)).select("i", "inside")
+
+
+@query(f"WITH {PATCHES} SELECT step_id % 2 AS grp, min(ix)::INT ix, min(iy)::INT iy, min(iz)::INT iz, (max(ix + sx) - min(ix))::INT sx, (max(iy + sy) - min(iy))::INT sy, (max(iz + sz) - min(iz))::INT sz FROM patches GROUP BY 1")
+def sample_union_box(spark, sf_dir):
+    return sampling.union_box(phantoms.tube_patches(spark).withColumn("grp", F.col("step_id") % 2), ["grp"])
+
+
+@query(f"WITH {TUBE} SELECT x, y, z FROM tube WHERE v > 0 AND NOT (abs(x - 24) <= 4 AND (y - 6)^2 + (z - 6)^2 <= 32) AND NOT (abs(x + 1) <= 4 AND (y - 6)^2 + (z - 6)^2 <= 32)")
+def sample_outside_boxes(spark, sf_dir):
+    ends = spark.createDataFrame([(20.0, 6.0, 6.0, 1.0, 0.0, 0.0, 2.0), (3.0, 6.0, 6.0, -1.0, 0.0, 0.0, 2.0)], "x double, y double, z double, tx double, ty double, tz double, radius double")
+    return sampling.outside_boxes(phantoms.tube(spark).filter("v > 0"), sampling.oriented_boxes(ends)).select("x", "y", "z")
+
+
+@query(f"WITH {TUBE} SELECT x, y, z FROM tube WHERE v > 0 AND ((x * 12 + y) * 12 + z) % 5 = 0")
+def sample_every_nth(spark, sf_dir):
+    return sampling.every_nth(phantoms.tube(spark), 5, (24, 12, 12)).select("x", "y", "z")
+
+
+@query(f"WITH {TUBE}, c AS (SELECT range centre_id, (range * 4)::DOUBLE x, 6.0::DOUBLE y, (4 + range)::DOUBLE z FROM range(5)) SELECT centre_id, count(t.x) voxels FROM c LEFT JOIN tube t ON v > 0 AND (t.x - c.x)^2 + (t.y - c.y)^2 + (t.z - c.z)^2 <= 6.25 GROUP BY 1")
+def sample_covered(spark, sf_dir):
+    i = F.col("id")
+    centres = spark.range(5).select(i.alias("centre_id"), (i * 4).cast("double").alias("x"), F.lit(6.0).alias("y"), (4 + i).cast("double").alias("z"))
+    return sampling.covered_by(phantoms.tube(spark), centres, 2.5)
+
+
+def _tube_path(spark):
+    return sampling.sampled_paths(spark.createDataFrame([(1, 0, 2.0, 6.0, 6.0), (1, 1, 12.0, 6.0, 6.0), (1, 2, 21.0, 6.0, 6.0)], "path_id int, seq int, x double, y double, z double")).withColumn("case", F.lit("t"))
+
+
+@query()
+def sample_paths(spark, sf_dir):
+    return _tube_path(spark).select("path_id", "id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "tx", "ry", "rz")])
+
+
+@query()
+def sample_contours(spark, sf_dir):
+    out = sampling.contours(phantoms.tube(spark).withColumn("case", F.lit("t")), _tube_path(spark), stride=2)
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg(F.sqrt(F.pow(F.col("y") - 6, 2) + F.pow(F.col("z") - 6, 2))), 4).alias("mean_radius"))
+
+
+@query()
+def sample_merged_lines(spark, sf_dir):
+    i = F.col("id")
+    one = spark.range(21).select(F.lit(1).alias("body"), F.lit(0).alias("line_id"), i.cast("int").alias("seq"), i.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("radius"))
+    two = spark.range(16).select(F.lit(1).alias("body"), F.lit(1).alias("line_id"), i.cast("int").alias("seq"), i.cast("double").alias("x"), F.greatest(i - 9, F.lit(0)).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("radius"))
+    return sampling.merged_lines(one.unionByName(two), "body")

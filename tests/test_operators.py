@@ -169,3 +169,29 @@ def test_presets():
     assert all(preset(n).as_dict()["add_radius"] >= 0 for n in PRESETS)
     with pytest.raises(FileNotFoundError):
         preset("none")
+
+
+def test_contours_of_a_tube_have_its_radius(spark):
+    from arbora.queries import QUERIES
+
+    out = QUERIES["sample_contours"](spark, "").toPandas()
+    assert len(out) >= 4 and (abs(out["mean_radius"] - 3.4) < 0.4).all() and (out["points"] > 12).all()
+
+
+def test_second_line_ends_where_it_meets_the_first(spark):
+    from arbora.queries import QUERIES
+
+    out = QUERIES["sample_merged_lines"](spark, "").toPandas()
+    branch = out[out["line_id"] == 1]
+    assert len(out[out["line_id"] == 0]) == 21 and branch["seq"].min() == 10
+    assert (branch["parent_line"] == 0).all() and (branch["parent_seq"] == 10).all()
+
+
+def test_seeded_voxels_are_the_same(spark):
+    from arbora.operators import sampling
+
+    t = phantoms.tube(spark)
+    one = sampling.random_voxels(t, 20, 3).toPandas()
+    assert one.equals(sampling.random_voxels(t.repartition(5), 20, 3).toPandas()) and (one["v"] > 0).all() and len(one) == 20
+    with pytest.raises(ValueError):
+        sampling.outside_boxes(t, t.withColumn("side", F.lit(1.0)), limit=10)
