@@ -59,7 +59,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, start: float = 1.
 
 
 def nearest_segment(queries: DataFrame, segments: DataFrame, radius: float, query_id: str = "query_id", segment_id: str = "segment_id") -> DataFrame:
-    """The nearest segment (ax .. bz) within ``radius`` of every query: query_id, segment_id, distance, t.
+    """The nearest segment (ax .. bz) within ``radius`` of every query: query_id, segment_id, distance, t; the smaller
+    segment where distances agree to 12 places.
 
     A segment is put into every cube along it, so long segments cost rows in proportion to their length.
     """
@@ -74,7 +75,7 @@ def nearest_segment(queries: DataFrame, segments: DataFrame, radius: float, quer
         asked = asked.select("*", F.explode(F.sequence(_bin(F.col(c), radius) - 2, _bin(F.col(c), radius) + 2)).alias(f"b_{c}"))
     d, t = segment_projection(point(), tuple(F.col(f"a{c}") for c in AXES), tuple(F.col(f"b{c}") for c in AXES))  # type: ignore[arg-type]
     hit = asked.join(cut, [f"b_{c}" for c in AXES]).select(query_id, segment_id, d.alias("distance"), t.alias("t")).filter(F.col("distance") <= radius)
-    return hit.groupBy(query_id).agg(F.min_by(F.struct(segment_id, "distance", "t"), F.struct("distance", segment_id)).alias("s")).select(query_id, "s.*")
+    return hit.groupBy(query_id).agg(F.min_by(F.struct(segment_id, "distance", "t"), F.struct(F.round("distance", 12), segment_id)).alias("s")).select(query_id, "s.*")
 
 
 def inverse_radius_bins(radius: float, spacing: float) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import naming
 from .operators import graph, kernels, mesh, metrics, polyline, sampling, spatial, tree, volume
-from .plans import assembly, centerline, tracing
+from .plans import assembly, centerline, seeds, tracing
 from .plans.config import preset
 from .sources import phantoms
 
@@ -192,9 +192,9 @@ def vol_surface_faces(spark, sf_dir):
     return mesh.voxel_surface(phantoms.tube(spark))
 
 
-@query(f"WITH {TUBE}, f AS (SELECT x, y, z FROM tube WHERE v > 0 AND x BETWEEN 8 AND 15), o AS (SELECT x, y, z FROM tube WHERE NOT (v > 0 AND x BETWEEN 8 AND 15)) SELECT f.x, f.y, f.z, round(min(sqrt(((f.x - o.x)^2 + (f.y - o.y)^2 + (2 * (f.z - o.z))^2)::DOUBLE)), 6) depth FROM f, o GROUP BY 1, 2, 3")
+@query(f"WITH {TUBE}, f AS (SELECT x, y, z FROM tube WHERE v > 0), o AS (SELECT x, y, z FROM tube WHERE NOT v > 0 UNION ALL SELECT e, y, z FROM tube, (SELECT unnest([-1, 24]) e) WHERE x = 0) SELECT f.x, f.y, f.z, round(min(sqrt(((f.x - o.x)^2 + (f.y - o.y)^2 + (2 * (f.z - o.z))^2)::DOUBLE)), 6) depth FROM f, o GROUP BY 1, 2, 3")
 def kernel_distance_map(spark, sf_dir):
-    piece = phantoms.tube(spark).filter("x between 8 and 15").withColumn("case", F.lit(1))
+    piece = phantoms.tube(spark).withColumn("case", F.lit(1))
     return kernels.distance_maps(piece, ["case"], (1.0, 1.0, 2.0)).select("x", "y", "z", r6("depth").alias("depth"))
 
 
@@ -370,36 +370,36 @@ def line_rotated(spark, sf_dir):
 
 @query()
 def line_smooth_closed(spark, sf_dir):
-    out = polyline.smooth_closed(event_lines(spark, sf_dir).filter("line_id < 10"), passes=3)
+    out = polyline.smooth_closed(event_lines(spark, sf_dir), passes=3)
     return out.select("line_id", "seq", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
 # spatial joins
 
 
-@query(f"WITH {POINTS} SELECT a.point_id query_id, b.point_id, round(sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2), 6) distance FROM pts a, pts b WHERE a.point_id % 5 = 0 AND (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 <= 0.0025")
+@query(f"WITH {POINTS} SELECT a.point_id query_id, b.point_id, round(sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2), 6) distance FROM pts a, pts b WHERE (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 <= 0.0025")
 def spatial_within(spark, sf_dir):
     p = vector_points(spark, sf_dir)
-    out = spatial.within(p.filter("point_id % 5 = 0").withColumnRenamed("point_id", "query_id"), p, 0.05)
+    out = spatial.within(p.withColumnRenamed("point_id", "query_id"), p, 0.05)
     return out.select("query_id", "point_id", r6("distance").alias("distance"))
 
 
-@query(f"WITH {POINTS}, d AS (SELECT a.point_id query_id, b.point_id, sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) d FROM pts a, pts b WHERE a.point_id % 5 = 0 AND b.point_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id) n FROM d) SELECT query_id, n::INT rank, point_id, round(d, 6) distance FROM r WHERE n <= 3")
+@query(f"WITH {POINTS}, d AS (SELECT a.point_id query_id, b.point_id, sqrt((a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2) d FROM pts a, pts b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, point_id) n FROM d) SELECT query_id, n::INT rank, point_id, round(d, 6) distance FROM r WHERE n <= 3")
 def spatial_nearest(spark, sf_dir):
     p = vector_points(spark, sf_dir)
-    out = spatial.nearest(p.filter("point_id % 5 = 0").withColumnRenamed("point_id", "query_id"), p.filter("point_id % 5 <> 0"), 3, start=0.05)
+    out = spatial.nearest(p.withColumnRenamed("point_id", "query_id"), p, 3, start=0.05)
     return out.select("query_id", "rank", "point_id", r6("distance").alias("distance"))
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT a.point_id segment_id, a.x ax, a.y ay, a.z az, b.x bx, b.y byy, b.z bz FROM pts a JOIN pts b ON b.point_id = a.point_id + 1 WHERE a.point_id % 4 = 0),
- d AS (SELECT q.point_id query_id, segment_id, q.x, q.y, q.z, ax, ay, az, bx, byy, bz, CASE WHEN (bx-ax)^2+(byy-ay)^2+(bz-az)^2 < 1e-30 THEN 0 ELSE least(greatest(((q.x-ax)*(bx-ax)+(q.y-ay)*(byy-ay)+(q.z-az)*(bz-az)) / ((bx-ax)^2+(byy-ay)^2+(bz-az)^2), 0), 1) END t FROM pts q, s WHERE q.point_id % 5 = 1),
- e AS (SELECT query_id, segment_id, t, sqrt((x-ax-t*(bx-ax))^2+(y-ay-t*(byy-ay))^2+(z-az-t*(bz-az))^2) d FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, segment_id) n FROM e WHERE d <= 0.15) SELECT query_id, segment_id, round(d, 6) distance, round(t, 5) t FROM r WHERE n = 1""")
+@query(f"""WITH {POINTS}, s AS (SELECT a.point_id segment_id, a.x ax, a.y ay, a.z az, b.x bx, b.y byy, b.z bz FROM pts a JOIN pts b ON b.point_id = a.point_id + 1),
+ d AS (SELECT q.point_id query_id, segment_id, q.x, q.y, q.z, ax, ay, az, bx, byy, bz, CASE WHEN (bx-ax)^2+(byy-ay)^2+(bz-az)^2 < 1e-30 THEN 0 ELSE least(greatest(((q.x-ax)*(bx-ax)+(q.y-ay)*(byy-ay)+(q.z-az)*(bz-az)) / ((bx-ax)^2+(byy-ay)^2+(bz-az)^2), 0), 1) END t FROM pts q, s),
+ e AS (SELECT query_id, segment_id, t, sqrt((x-ax-t*(bx-ax))^2+(y-ay-t*(byy-ay))^2+(z-az-t*(bz-az))^2) d FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), segment_id) n FROM e WHERE d <= 0.15) SELECT query_id, segment_id, round(d, 6) distance, round(t, 5) + 0.0 t FROM r WHERE n = 1""")
 def spatial_nearest_segment(spark, sf_dir):
     p = vector_points(spark, sf_dir)
-    a = p.filter("point_id % 4 = 0").select(F.col("point_id").alias("segment_id"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    a = p.select(F.col("point_id").alias("segment_id"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
     b = p.select((F.col("point_id") - 1).alias("segment_id"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    out = spatial.nearest_segment(p.filter("point_id % 5 = 1").withColumnRenamed("point_id", "query_id"), a.join(b, "segment_id"), 0.15)
-    return out.select("query_id", "segment_id", r6("distance").alias("distance"), F.round("t", 5).alias("t"))
+    out = spatial.nearest_segment(p.withColumnRenamed("point_id", "query_id"), a.join(b, "segment_id"), 0.15)
+    return out.select("query_id", "segment_id", r6("distance").alias("distance"), (F.round("t", 5) + 0.0).alias("t"))
 
 
 @query(f"WITH {POINTS}, d AS (SELECT point_id % 7 AS \"case\", point_id cap_id, sqrt((x - 0.1)^2 + y^2 + (z + 0.1)^2) d, acos(least(greatest((y) / sqrt((x - 0.1)^2 + y^2 + (z + 0.1)^2), -1), 1)) a FROM pts), s AS (SELECT *, row_number() OVER (PARTITION BY \"case\" ORDER BY d, cap_id) = 1 src FROM d) SELECT \"case\", cap_id, (row_number() OVER (PARTITION BY \"case\" ORDER BY src DESC, a, cap_id))::INT place FROM s")
@@ -685,3 +685,20 @@ def sample_merged_lines(spark, sf_dir):
     one = spark.range(21).select(F.lit(1).alias("body"), F.lit(0).alias("line_id"), i.cast("int").alias("seq"), i.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("radius"))
     two = spark.range(16).select(F.lit(1).alias("body"), F.lit(1).alias("line_id"), i.cast("int").alias("seq"), i.cast("double").alias("x"), F.greatest(i - 9, F.lit(0)).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("radius"))
     return sampling.merged_lines(one.unionByName(two), "body")
+
+
+@query(f"WITH {LINES}, d AS (SELECT *, CASE WHEN y % 5 = 0 THEN 0 ELSE y END ty FROM lines) SELECT line_id, seq, x old_x, CASE WHEN ty = 0 THEN y ELSE y - 2 END old_y, CASE WHEN ty = 0 THEN z - 2 ELSE z END old_z FROM d")
+def seed_at_points(spark, sf_dir):
+    rows = event_lines(spark, sf_dir).withColumn("tx", F.lit(0.0)).withColumn("ty", F.when(F.col("y") % 5 == 0, 0.0).otherwise(F.col("y"))).withColumn("tz", F.lit(0.0))
+    return seeds.seeds_at_points(rows, 2.0).select("line_id", "seq", "old_x", "old_y", "old_z")
+
+
+@query(f"WITH {_STEP}, l AS (SELECT line_id, row_number() OVER (ORDER BY sum(step) DESC, line_id) rank FROM ar GROUP BY 1), p AS (SELECT lines.*, rank, row_number() OVER (PARTITION BY line_id ORDER BY seq DESC) - 1 p, count(*) OVER (PARTITION BY line_id) n FROM lines JOIN l USING (line_id) WHERE rank <= 10) SELECT a.line_id, a.rank::INT rank, a.x old_x, b.x x, b.radius radius FROM p a JOIN p b ON a.line_id = b.line_id AND b.p = least(7, b.n - 1) AND a.p = greatest(least(7, a.n - 1) - 2, 0)")
+def seed_on_longest(spark, sf_dir):
+    return seeds.seeds_on_longest(event_lines(spark, sf_dir), 10, 5, from_end=True).select("line_id", "rank", "old_x", "x", "radius")
+
+
+@query(f"WITH {LINES} SELECT line_id, seq FROM lines WHERE round_even(x / 2, 0) NOT BETWEEN 0 AND 99 OR round_even(y, 0) NOT BETWEEN 0 AND 89 OR round_even(z - 1, 0) NOT BETWEEN 0 AND 9 OR round_even((x - 5) / 2, 0) NOT BETWEEN 0 AND 99")
+def seed_outside_volume(spark, sf_dir):
+    rows = event_lines(spark, sf_dir).withColumns({"old_x": F.col("x") - 5, "old_y": F.col("y"), "old_z": F.col("z")})
+    return seeds.outside_volume(rows, (100, 90, 10), (2.0, 1.0, 1.0), (0.0, 0.0, 1.0)).select("line_id", "seq")

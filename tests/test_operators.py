@@ -195,3 +195,12 @@ def test_seeded_voxels_are_the_same(spark):
     assert one.equals(sampling.random_voxels(t.repartition(5), 20, 3).toPandas()) and (one["v"] > 0).all() and len(one) == 20
     with pytest.raises(ValueError):
         sampling.outside_boxes(t, t.withColumn("side", F.lit(1.0)), limit=10)
+
+
+def test_seeds_outside_raise_with_all_of_them(spark):
+    from arbora.plans import seeds
+
+    rows = seeds.seeds_at_points(spark.createDataFrame([(1.0, 1.0, 1.0, 1.0), (9.0, 1.0, 1.0, 1.0), (1.0, 1.0, 0.0, 1.0)], "x double, y double, z double, radius double"))
+    assert rows.count() == 3 and seeds.checked(rows.limit(1), (5, 5, 5)).count() == 1
+    with pytest.raises(ValueError, match="^2 seeds"):
+        seeds.checked(rows, (5, 5, 5))
