@@ -98,9 +98,33 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+# SQL of the queries over the same tables.
+
+NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END s FROM w),
+ u AS (SELECT doc_id, unnest(s) g FROM s),
+ p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.s) + len(y.s) - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT DISTINCT a n, a m FROM e UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n),
+ c AS (SELECT n, min(m) m FROM r GROUP BY n)
+ SELECT doc_id, len(s)::BIGINT n_shingles, coalesce(m, doc_id) component_id, coalesce(m, doc_id) = doc_id kept FROM s LEFT JOIN c ON n = doc_id"""
+ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) b, sha1(h) s FROM p), g AS (SELECT *, max(page_id) OVER (PARTITION BY s) m FROM d)
+ SELECT page_id, b::BIGINT payload_bytes, s payload_digest, CASE WHEN b >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END record_type, CASE WHEN b >= 1000 AND page_id <> m THEN m END refers_to FROM g"""
+REPEATS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+ h AS (SELECT doc_id, [md5(array_to_string(w[i:i + 34], ' ')) for i in range(1, len(w) - 33)] h FROM w WHERE len(w) >= 35),
+ x AS (SELECT doc_id, unnest(h) g, generate_subscripts(h, 1) i FROM h),
+ t AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
+ r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) i FROM x WHERE g IN (SELECT g FROM t)),
+ k AS (SELECT doc_id, unnest(w) x, generate_subscripts(w, 1) i FROM w),
+ j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) t FROM k ANTI JOIN r USING (doc_id, i) GROUP BY 1),
+ n AS (SELECT doc_id, count(*) n FROM r GROUP BY 1)
+ SELECT doc_id, len(w)::BIGINT n_words, coalesce(n, 0)::BIGINT n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN j USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_dedup, op4_quality_rules, op5_minhash, op6_vp_trees, op7_warc, op8_substring_dedup, op9_sentencepiece, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_minhash": NEAR_DUPLICATES, "op7_warc": ARCHIVES, "op8_substring_dedup": REPEATS}
