@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.queries import TOKENIZER, tokenizer_path, tokenizer_pattern
-from arbora.llm.shared import written
+from arbora.llm.shared import released, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id; repeated rows become one."""
+    """One row of each group of near-duplicates: that with the smallest doc_id; repeated rows become one, with and
+    without id.  Rows without words are linked with nothing, and one of each id stays."""
     from arbora.llm.minhash import near_duplicates
 
-    gone = written(near_duplicates(docs).filter("not kept").select(F.col("id").alias("doc_id")).distinct(), "near")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows, ident="_row").select(F.col("id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
+    near = near.join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    group = [F.when(F.col("n_shingles") > 0, F.col("_group")).alias("_group"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("_blank")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))["_row"]
+    stay = written(near.select("_row", "doc_id", *group).groupBy("_group", "_blank").agg(first.alias("_row")).select("_row"), "near")
+    released(spark)
+    return rows.join(stay.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,3 +195,36 @@ def test_pipeline(spark, tmp_path):
             want = {x[0]: x[4] for x in brute_repeats(list(before.items())) if x[4] or not x[2]}
             assert {i: " ".join(t.encode().decode().split()) for i, t in after.items()} == {i: " ".join(t.split()) for i, t in want.items()}
         docs = out
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = (prose(80, 900 + k) for k in range(3))
+    rows = [(1, one), (1, one), (2, two), (None, three), (None, three), (None, two), (3, None), (3, None), (4, ""), (None, None), (None, " "), (1, prose(80, 910)), (5, prose(80, 911))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long")).repartition(3)
+    near = pipeline.minhash(spark, docs, "")
+    assert near.columns == docs.columns
+    near.write.parquet(str(tmp_path / "near"))
+    near = spark.read.parquet(str(tmp_path / "near"))
+    key = lambda x: (x[0] or 0, x[1] or "")
+    want = [(1, one), (1, prose(80, 910)), (2, two), (3, None), (4, ""), (5, prose(80, 911)), (None, three)]
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=key)
+    assert [x for x in got if x[0] is not None or x[1] and x[1].strip()] == sorted(want, key=key)
+    assert len(got) == len(want) + 1  # the rows with neither id nor words
+    cut = pipeline.substring_dedup(spark, near, "")
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=key) == got
+
+
+def test_pipeline_removes_just_what_is_near_another(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from .test_dedup import Forest, families, shingles
+
+    rows = [(i, t) for i, t in families() if i is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: shingles(t) for i, t in rows}
+    forest = Forest(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                forest.join(a, b)
+    assert {r.doc_id for r in pipeline.minhash(spark, docs, "").collect()} == {i for i in sets if forest.find(i) == i}
