@@ -9,6 +9,10 @@ from arbora.llm.queries import TOKENIZER, tokenizer_path, tokenizer_pattern
 from arbora.llm.shared import released, written
 
 
+#: Least similarity of near-duplicates on word shingles in the near-dedup stage; the query op5_minhash has its own of 85.
+PERCENT = 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, whole.  The model is fitted on all documents of this stage and on labels."""
     from arbora.llm.toxicity import fit, score
@@ -25,12 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id; repeated rows become one, with and
+    """One row of each group of documents of similarity 0.8 or more: that with the smallest doc_id; repeated rows become one, with and
     without id.  Rows without words are linked with nothing, and one of each id stays."""
     from arbora.llm.minhash import near_duplicates
 
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(rows, ident="_row").select(F.col("id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
+    near = near_duplicates(rows, ident="_row", percent=PERCENT).select(F.col("id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
     near = near.join(rows.select("_row", "doc_id").hint("merge"), "_row")
     group = [F.when(F.col("n_shingles") > 0, F.col("_group")).alias("_group"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("_blank")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))["_row"]
