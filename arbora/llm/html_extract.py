@@ -2,9 +2,10 @@
 
 Tokens of a page are its block elements and its text blocks, each told apart by its path.  A token's occurrence vector
 over the host's pages is kept as a sum of hashed pages, which merges in any order; tokens with equal sums form an
-equivalence class.  Classes that are large and frequent enough are valid; those of elements nest by their paths into
-the host's template, and those of text blocks are its fixed text.  Of the template's slots, the one that holds most of
-the text that varies between pages is the article's; what fills it on a page is returned.
+equivalence class.  Classes that are large and frequent enough are valid: their tokens are the template, in which a
+text block stands in its element, so both are of one class.  Classes of elements nest by their paths; an element that
+only some pages have, as that of one layout of several, is a class inside another's.  What varies between the template's
+tokens are its slots.  Of a page, the slots in the lowest container that holds all its varying text are returned.
 """
 
 from __future__ import annotations
@@ -13,21 +14,16 @@ import html
 import re
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, joined_by_key, written
 
-#: Part of a host's pages that a token of its template is on, and the pages from which a host's fixed text is believed.
-SUPPORT, FIXED_SUPPORT, FIXED_PAGES = 0.5, 0.95, 10
+#: Tokens that a valid class has, and different pages (rows of equal content count once) that it is on, at least.
+SIZE, SUPPORT = 3, 5
 #: Occurrence vectors' sums are taken modulo this, so that they can be added up in a long over many batches.
 VECTOR = 1 << 40
-#: Part of the varying text that a slot must hold to be entered.
-SHARE = 0.6
-#: Part of a host's pages under which a path takes no part in choosing the slot.
-RARE = 0.01
 
 # Element names of HTML by role.
 BLOCKS = set(
@@ -142,38 +138,38 @@ def _hash(*parts: str) -> int:
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """Per batch, host and token: its path, how often it is there, on how many pages, its occurrence vector's sum, and
-    characters in and outside links (text only)."""
+    """Per batch, host and token: the token of its element (text only), how often it is there, on how many pages, its
+    occurrence vector's sum, and up to SUPPORT hashes of contents it is on.
+
+    Copies of a page weigh all tokens on it alike, so they leave equal vectors equal.
+    """
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 found: dict[tuple, list] = {}
-                for key, url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     host, bs = host_of(url), blocks(page)
-                    sign = _hash(str(key), url or "")
+                    sign = _hash(page or "")
                     count: Counter = Counter()
-                    chars: dict[tuple, tuple[int, int]] = {}
-                    for path, text, links in bs:
-                        t = (path, _hash(path, text), True)
-                        count[t] += 1
-                        chars[t] = (len(text), links)
-                    for path in {p for path, _, _ in bs for p in _ancestors(path)}:
-                        count[path, _hash(path), False] = 1
+                    for path, text, _ in bs:
+                        if path:
+                            count[_hash(path, text), _hash(path)] += 1
+                    for path in {p for path, _, _ in bs if path for p in _ancestors(path)}:
+                        count[_hash(path), None] = 1
                     for t, n in count.items():
-                        x = found.setdefault((host, *t), [0, 0, 0, 0, 0])
-                        a, b = chars.get(t, (0, 0))
+                        x = found.setdefault((host, *t), [0, 0, 0, set()])
                         x[0] += n
                         x[1] += 1
                         x[2] = (x[2] + sign * n) % VECTOR
-                        x[3] += a * n
-                        x[4] += b * n
-                cols = list(zip(*((*k, *v) for k, v in found.items()), strict=True)) or [[]] * 9
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "token", "is_text", "n", "pages", "vector", "chars", "links"])
+                        if len(x[3]) < SUPPORT:
+                            x[3].add(sign)
+                cols = list(zip(*((*k, *v[:3], list(v[3])) for k, v in found.items()), strict=True)) or [[]] * 7
+                kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "element", "n", "pages", "vector", "contents"])
 
-    return pages.mapInArrow(run, "host string, path string, token long, is_text boolean, n long, pages long, vector long, chars long, links long")
+    return pages.mapInArrow(run, "host string, token long, element long, n long, pages long, vector long, contents array<long>")
 
 
 def _ancestors(path: str) -> list[str]:
@@ -181,53 +177,43 @@ def _ancestors(path: str) -> list[str]:
     return ["/".join(parts[: i + 1]) for i in range(len(parts))]
 
 
-def _main_slot(rows: pd.DataFrame) -> pd.DataFrame:
-    """The slot of one host: from the root, the child that holds most varying text, as long as it holds enough of it."""
-    held: Counter = Counter()
-    for path, chars in zip(rows["path"], rows["varying"], strict=True):
-        if "!" not in path:
-            for p in _ancestors(path):
-                held[p] += chars
-    valid = set(rows.loc[rows["valid"], "path"])
-    total, at = sum(v for p, v in held.items() if "/" not in p), ""
-    while total:
-        below = [(v, p) for p, v in held.items() if p in valid and p.rpartition("/")[0] == at and re.match(r"[a-z0-9]*", p.rpartition("/")[2])[0] in CONTAINERS]
-        if not below or max(below)[0] < SHARE * total:
-            break
-        at = max(below)[1]
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "slot": [at]})
-
-
 def deduced_templates(tokens: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Per host: its pages, the path of the article's slot, and the hashes of its fixed text blocks."""
-    merged = tokens.groupBy("host", "path", "token", "is_text").agg(F.sum("pages").alias("on"), F.sum("n").alias("n"), F.pmod(F.sum("vector"), F.lit(VECTOR)).alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    # a class: tokens of a host with one occurrence vector; it is valid if it is frequent and its tokens come once a page
-    classes = merged.filter("on > 1 and n = on").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("on").alias("support"))
-    classes = classes.join(hosts, "host").filter(F.col("support") >= SUPPORT * F.col("host_pages")).select("host", "vector", "size", "support", "host_pages")
-    fixed = merged.filter("is_text and on > 1 and n = on").join(classes, ["host", "vector"]).filter((F.col("support") >= FIXED_SUPPORT * F.col("host_pages")) & (F.col("host_pages") >= FIXED_PAGES))
-    fixed = fixed.select("host", "token").withColumn("fixed", F.lit(True))
-    text = merged.filter("is_text").join(fixed, ["host", "token"], "left")
-    varying = text.groupBy("host", "path").agg(F.sum(F.when(F.col("fixed").isNull(), F.col("chars") - F.col("links")).otherwise(0)).alias("varying"))
-    paths = merged.filter("not is_text").join(hosts, "host").filter((F.col("on") >= RARE * F.col("host_pages"))).select("host", "path", (F.col("on") >= SUPPORT * F.col("host_pages")).alias("valid"))
-    paths = paths.join(varying, ["host", "path"], "left").na.fill({"varying": 0})
-    slots = paths.groupBy("host").applyInPandas(_main_slot, "host string, slot string")
-    return hosts.join(slots, "host", "left").join(fixed.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
-
-
-def main_text(page: str | None, slot: str | None, fixed=()) -> str:
-    """The text of the article's slot of a page; a page without that slot is taken from its article, main or body."""
+    """Per host: its rows, whether it has pages enough for a template, and the hashes of the template's text blocks."""
+    merged = tokens.groupBy("host", "token", "element").agg(F.sum("n").alias("n"), F.sum("pages").alias("on"), F.pmod(F.sum("vector"), F.lit(VECTOR)).alias("vector"), F.array_distinct(F.flatten(F.collect_list("contents"))).alias("contents"))
+    once = written(merged.filter((F.col("n") == F.col("on")) & (F.size("contents") >= SUPPORT)).select("host", "token", "element", "vector"), "once")
+    classes = once.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= SIZE).select("host", "vector")
+    around = once.filter("element is null").select("host", F.col("token").alias("element"), "vector").join(classes, ["host", "vector"])
+    fixed = once.filter("element is not null").join(around, ["host", "element", "vector"])
+    return hosts.join(fixed.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
+
+
+def main_text(page: str | None, template: bool, fixed=()) -> str:
+    """The text of a page's slots: without its template, those in the lowest container that holds all text that isn't
+    links; a page of a host without template is taken from its article, main or body.  Text of the template stays where
+    nothing else would."""
     inside = [b for b in blocks(page) if not _outside(b[0])]
-    own = _under(inside, slot) if slot else []
-    if not own:
+    if not template:
         for name in ("article", "main"):
             own = [b for b in inside if any(re.match(rf"{name}\b", c) for c in b[0].split("/"))]
             if own:
-                break
-        else:
-            own = inside
-    if len(fixed):
-        own = [b for b in own if _hash(b[0], b[1]) not in fixed]
-    return "\n".join(b[1] for b in own)
+                return "\n".join(b[1] for b in own)
+        return "\n".join(b[1] for b in inside)
+    own = [b for b in inside if _hash(b[0], b[1]) not in fixed] or inside
+    slot = _container([b[0] for b in own if len(b[1]) > b[2]])
+    return "\n".join(b[1] for b in own if not slot or b[0] == slot or b[0].startswith(slot + "/"))
+
+
+def _container(paths: list[str]) -> str:
+    """The lowest container around all ``paths``; empty if there is none."""
+    if not paths:
+        return ""
+    low, high = min(parts := [p.split("/") for p in paths]), max(parts)
+    k = 0
+    while k < min(len(low), len(high)) and low[k] == high[k]:
+        k += 1
+    while k and re.match(r"[a-z0-9]*", low[k - 1])[0] not in CONTAINERS:
+        k -= 1
+    return "/".join(low[:k])
 
 
 def _outside(path: str) -> bool:
@@ -235,21 +221,18 @@ def _outside(path: str) -> bool:
     return "!" in path
 
 
-def _under(found: list, slot: str) -> list:
-    return [b for b in found if b[0] == slot or b[0].startswith(slot + "/")]
-
-
 def extract(pages: DataFrame, page: str = "html", url: str = "url", ident: str = "page_id") -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    A null page has no text; pages without a host form one host of their own; a host with one page has no template, so
-    its page is taken from its article, main or body element.  Repeated rows are pages of their own, and columns other
-    than the three named are ignored.
+    A null page has no text; pages without a host form one host of their own; a host with under SUPPORT different pages
+    has no template, so its pages are taken from their article, main or body element.  Rows of equal content count once
+    in the template, and each is returned; columns other than the three named are ignored.
     """
     rows = pages.select(F.col(ident).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
-    hosts = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
-    tokens = written(_tokens(rows.select("id", "url", "html")), "tokens")
+    contents = rows.groupBy("host", F.xxhash64(F.coalesce("html", F.lit("")))).agg(F.count(F.lit(1)).alias("copies"))
+    hosts = written(contents.groupBy("host").agg(F.sum("copies").alias("host_pages"), (F.count(F.lit(1)) >= SUPPORT).alias("template")), "hosts")
+    tokens = written(_tokens(rows.select("url", "html")), "tokens")
     templates = written(deduced_templates(tokens, hosts), "templates")
     dropped(tokens)
     total = hosts.agg(F.coalesce(F.sum("host_pages"), F.lit(0))).first()[0]
@@ -260,10 +243,10 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", ident: str =
                 part = batch.slice(lo, 512)
                 known: dict[str, frozenset] = {}
                 texts = []
-                for host, html_, slot, fixed in zip(*(part.column(c).to_pylist() for c in ("host", "html", "slot", "fixed")), strict=True):
+                for host, html_, template, fixed in zip(*(part.column(c).to_pylist() for c in ("host", "html", "template", "fixed")), strict=True):
                     if host not in known:
                         known[host] = frozenset(fixed or ())
-                    texts.append(main_text(html_, slot, known[host]))
+                    texts.append(main_text(html_, template, known[host]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     joined = joined_by_key(rows, templates, ["host"], "host_pages", total)

@@ -231,3 +231,15 @@ def test_pipeline_removes_just_what_is_near_another(spark):
                 forest.join(a, b)
     assert 80 <= 100 * len(sets[800] & sets[802]) / len(sets[800] | sets[802]) < 85
     assert {r.doc_id for r in pipeline.minhash(spark, docs, "").collect()} == {i for i in sets if forest.find(i) == i}
+
+
+def test_template_is_of_valid_classes_nested_by_position(spark):
+    # a text as frequent as an optional element is its template only inside it; small classes are none
+    rows = []
+    for i in range(20):
+        box = "<table class=box><tr><td>Box of the host</td></tr></table>" if i < 8 else ""
+        rows.append((i, "http://nest.example/", f"<body><div><p>{prose(20, 4000 + i)}</p>{'<p>Said in eight articles</p>' if i < 8 else ''}{box}</div></body>"))
+    got = {r.id: r.text.split("\n")[1:] for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {i: ["Said in eight articles"] if i < 8 else [] for i in range(20)}
+    bare = [(i, "http://bare.example/", f"<p>Same{'' if i else ' not'}</p>") for i in range(9)]
+    assert {r.text for r in html_extract.extract(pages(spark, bare)).collect()} == {"Same", "Same not"}
