@@ -233,6 +233,21 @@ def test_pipeline_removes_just_what_is_near_another(spark):
     assert {r.doc_id for r in pipeline.minhash(spark, docs, "").collect()} == {i for i in sets if forest.find(i) == i}
 
 
+def test_all_varying_text_of_every_layout_stays(spark):
+    line = lambda n, k: " ".join(prose(n, k).split())
+    rows, want = [], {}
+    for i in range(24):
+        head, lead, body = line(4, 2000 + i), line(12, 2100 + i), line(60, 2200 + i)
+        if i % 3:
+            page = f"<body><article><h1>{head}</h1><div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div></article><p>Always the same</p></body>"
+        else:
+            page = f"<body><div class=text><p>{head}</p><p>{lead}</p><p>{body}</p></div><div class=body><p>Only in this layout</p></div><p>Always the same</p></body>"
+        rows.append((i, f"http://two.example/{i}", page))
+        want[i] = f"{head}\n{lead}\n{body}"
+    got = {r.id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == want
+
+
 def test_template_is_of_valid_classes_nested_by_position(spark):
     # a text as frequent as an optional element is its template only inside it; small classes are none
     rows = []
