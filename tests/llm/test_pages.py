@@ -248,6 +248,18 @@ def test_all_varying_text_of_every_layout_stays(spark):
     assert got == want
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = f"<body><div><h1>{prose(3, 3000).strip()}</h1><p>{prose(30, 3001)}</p></div></body>"
+    for n in (9, 10, 24):
+        rows = [(i, f"http://copies.example/{i % 20}", page) for i in range(n)]
+        got = {r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+        assert got == {prose(3, 3000).strip() + "\n" + " ".join(prose(30, 3001).split())}
+    # boilerplate of a smaller host goes; a page of boilerplate alone keeps it
+    rows = [(i, "http://small.example/", f"<body><div><p>Always the same</p>{f'<p>{prose(20, 3100 + i)}</p>' if i else ''}</div></body>") for i in range(7)]
+    got = {r.id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == {0: "Always the same", **{i: " ".join(prose(20, 3100 + i).split()) for i in range(1, 7)}}
+
+
 def test_template_is_of_valid_classes_nested_by_position(spark):
     # a text as frequent as an optional element is its template only inside it; small classes are none
     rows = []
