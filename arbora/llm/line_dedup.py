@@ -9,6 +9,8 @@ what is left of each line without the common segment is within ``edits`` again,
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, dropped, joined_by_key, released, written
 
-#: Edits between near-duplicate lines, and the characters of the shortest line that takes part.
+#: Edits between near-duplicate lines, and the characters of the shortest line that may differ by so many.
 EDITS, SHORTEST = 2, 20
 #: Pairs of a bucket above which it is split by another segment, and classes of characters whose counts bound edits.
 BUCKET_PAIRS, CLASSES = 65_536, 24
@@ -42,6 +44,11 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(length: int, edits: int, shortest: int) -> int:
+    """Edits between a line of ``length`` characters and a longer one: fewer under ``shortest``, in proportion."""
+    return edits if length >= shortest else edits * length // shortest
+
+
 def _seed(context: int, length: int, segment: int) -> int:
     return (context * 0x9E3779B97F4A7C15 + length * 64 + segment + 1) % 2**64
 
@@ -52,24 +59,38 @@ def index_keys(text: str, context: int, edits: int) -> list[tuple[int, int, int]
     return [(_H(data[4 * a : 4 * (a + s)], _seed(context, n, i)) - 2**63, a, a + s) for i, (a, s) in enumerate(segments(n, edits))]
 
 
-def probe_keys(text: str, context: int, edits: int, own: bool = True) -> list[tuple[int, int, int]]:
+def probe_keys(text: str, context: int, edits, own: bool = True) -> list[tuple[int, int, int]]:
     """(key, begin, end) of each substring of ``text`` that may equal a segment of a string up to ``edits`` shorter;
-    without those that are its ``index_keys``, unless ``own``.
+    without those that are its ``index_keys``, unless ``own``.  ``edits`` is a number or a function of the shorter length.
 
     Segment i of the shorter string lies at its own place shifted by at most the edits to its left, which are at most
     i, and by the length difference plus at most the edits to its right, which are at most edits - i.
     """
+    return [x[:3] for x in _probe_keys(text, context, edits, own)]
+
+
+def _probe_keys(text: str, context: int, edits, own: bool = True) -> list[tuple[int, int, int, int]]:
+    """``probe_keys`` with the edits of each."""
+    of = edits if callable(edits) else lambda _: edits
     out, data, n = [], text.encode("utf-32-le", "surrogatepass"), len(text)
-    for shorter in range(max(0, n - edits), n + 1):
-        d = n - shorter
-        for i, (a, s) in enumerate(segments(shorter, edits)):
+    for shorter in range(max(0, n - of(n)), n + 1):
+        d, e = n - shorter, of(shorter)
+        if d > e or not e:
+            continue
+        for i, (a, s) in enumerate(segments(shorter, e)):
             seed = _seed(context, shorter, i)
-            for b in range(max(a - i, a + d - (edits - i), 0), min(a + i, a + d + (edits - i), n - s) + 1):
+            for b in range(max(a - i, a + d - (e - i), 0), min(a + i, a + d + (e - i), n - s) + 1):
                 if own or d or b != a:
-                    out.append((_H(data[4 * b : 4 * (b + s)], seed) - 2**63, b, b + s))
+                    out.append((_H(data[4 * b : 4 * (b + s)], seed) - 2**63, b, b + s, e))
     return out
 
 
+def _index_keys(text: str, context: int, edits) -> list[tuple[int, int, int, int]]:
+    """``index_keys`` with the edits of each; none where there are no edits."""
+    e = edits(len(text)) if callable(edits) else edits
+    return [(*x, e) for x in index_keys(text, context, e)] if e else []
+
+
 def histogram(text: str) -> list[int]:
     """Counts of the characters of ``text`` by class: an edit takes one from a class, adds one to a class, or both."""
     return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES, minlength=CLASSES).tolist()
@@ -124,7 +145,7 @@ def _lines(text: str | None):
     return enumerate((text or "").split("\n"))
 
 
-def _occurrences(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
+def _occurrences(docs: DataFrame, edits, least: int) -> DataFrame:
     """One row per line that takes part: id, line_no, h, and at its first place in a partition its index and probe keys."""
 
     def run(batches):
@@ -136,7 +157,7 @@ def _occurrences(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
                 for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                     for k, line in _lines(t):
                         line = line.strip()
-                        if len(line) < shortest:
+                        if len(line) < least:
                             continue
                         h = _hash(line)
                         new = h not in seen
@@ -147,14 +168,14 @@ def _occurrences(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
                         ids.append(i)
                         numbers.append(k)
                         hs.append(h)
-                        index.append([x[0] for x in index_keys(line, 0, edits)] if new else [])
+                        index.append([x[0] for x in _index_keys(line, 0, edits)] if new else [])
                         probe.append([x[0] for x in probe_keys(line, 0, edits, own=False)] if new else [])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hs, pa.int64()), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))], ["id", "line_no", "h", "index", "probe"])
 
     return docs.mapInArrow(run, "id long, line_no int, h long, index array<long>, probe array<long>")
 
 
-def _texts(docs: DataFrame, shortest: int) -> DataFrame:
+def _texts(docs: DataFrame, least: int) -> DataFrame:
     """(h, line) of the distinct lines of each partition."""
 
     def run(batches):
@@ -165,7 +186,7 @@ def _texts(docs: DataFrame, shortest: int) -> DataFrame:
                 for t in batch.column(1).slice(lo, 512).to_pylist():
                     for _, line in _lines(t):
                         line = line.strip()
-                        if len(line) >= shortest and (h := _hash(line)) not in seen:
+                        if len(line) >= least and (h := _hash(line)) not in seen:
                             if len(seen) > 1_000_000:
                                 seen.clear()
                             seen.add(h)
@@ -176,30 +197,30 @@ def _texts(docs: DataFrame, shortest: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, line string")
 
 
-def _split(members: DataFrame, edits: int) -> DataFrame:
-    """The next keys of members (key, h, indexed, probing, rest, context) of crowded buckets: of each, ``rest`` without the
-    part that gave ``key``, in the roles that it has."""
+def _split(members: DataFrame, edits) -> DataFrame:
+    """The next keys of members (key, h, indexed, probing, rest, context, edits) of crowded buckets: of each, ``rest`` without the
+    part that gave ``key``, in the roles that it has.  Their edits are those of the key, which is null at first."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
-                for key, h, indexed, probing, rest, context in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
-                    for role, give in ((True, index_keys), (False, probe_keys)):
+                for key, h, indexed, probing, rest, context, own in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                    for role, give in ((True, _index_keys), (False, _probe_keys)):
                         if not (indexed if role else probing):
                             continue
                         found = {}
-                        for k, a, b in give(rest, context, edits):
+                        for k, a, b, e in give(rest, context, edits if own is None else own):
                             if k == key:
                                 left = rest[:a] + rest[b:]
-                                for k2, _, _ in give(left, key, edits):
-                                    found[k2, left] = None
-                        out += [(k2, h, role, not role, left, key) for k2, left in found]
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["key", "h", "indexed", "probing", "rest", "context"])
+                                for k2, *_ in give(left, key, e):
+                                    found[k2, left, e] = None
+                        out += [(k2, h, role, not role, left, key, e) for k2, left, e in found]
+                cols = list(zip(*out, strict=True)) or [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["key", "h", "indexed", "probing", "rest", "context", "edits"])
 
-    return members.select("key", "h", "indexed", "probing", "rest", "context").mapInArrow(run, "key long, h long, indexed boolean, probing boolean, rest string, context long")
+    return members.select("key", "h", "indexed", "probing", "rest", "context", "edits").mapInArrow(run, "key long, h long, indexed boolean, probing boolean, rest string, context long, edits int")
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -229,10 +250,11 @@ def _histograms(lines: DataFrame) -> DataFrame:
     return lines.select("h", "line").mapInArrow(run, "h long, hist array<int>")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, edits) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ok = pa.array([edit_distance(a, b, edits) <= edits for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            two = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ok = pa.array([bool(e := edits(min(len(a), len(b)))) and edit_distance(a, b, e) <= e for a, b in two], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     one = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
@@ -240,8 +262,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return two.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) -> DataFrame:
-    """The pairs (a, b) of hashes of all different lines within ``edits`` edits."""
+def near_links(docs: DataFrame, places: DataFrame, edits: int, of, least: int) -> DataFrame:
+    """The pairs (a, b) of hashes of all different lines within ``of(length of the shorter)`` edits, ``edits`` at most."""
     spark = docs.sparkSession
     keyed = places.select("h", F.explode("index").alias("key"), F.lit(True).alias("indexed")).unionByName(places.select("h", F.explode("probe").alias("key"), F.lit(False).alias("indexed")))
     total = places.agg(F.coalesce(F.sum(F.size("index") + F.size("probe")), F.lit(0))).first()[0]
@@ -252,15 +274,15 @@ def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) ->
     members = members.groupBy("key", "h").agg(F.max("indexed").alias("indexed"), F.max("pairs").alias("pairs")).withColumn("probing", F.lit(True))
     members = written(members, "members")
     released(spark)
-    lines = _texts(docs, shortest).join(members.select("h").distinct().hint("merge"), "h").groupBy("h").agg(F.min("line").alias("line"))
+    lines = _texts(docs, least).join(members.select("h").distinct().hint("merge"), "h").groupBy("h").agg(F.min("line").alias("line"))
     lines = written(lines, "lines")
     released(spark)
     counts = written(_histograms(lines), "counts")
     found = [written(_pairs(members.filter(F.col("pairs") <= BUCKET_PAIRS), counts, edits), "pairs")]
     crowd = members.filter(F.col("pairs") > BUCKET_PAIRS)
-    crowd = written(crowd.join(lines.withColumnRenamed("line", "rest").hint("merge"), "h").withColumn("context", F.lit(0).cast("long")), "crowd")
+    crowd = written(crowd.join(lines.withColumnRenamed("line", "rest").hint("merge"), "h").withColumn("context", F.lit(0).cast("long")).withColumn("edits", F.lit(None).cast("int")), "crowd")
     while not crowd.isEmpty():
-        finer = written(_split(crowd, edits), "finer")
+        finer = written(_split(crowd, of), "finer")
         buckets = written(_buckets(finer), "buckets")
         finer = joined_by_key(finer, buckets, ["key"], "places", finer.count())  # a bucket goes on or ends as a whole
         done = (F.col("pairs") <= BUCKET_PAIRS) | (F.col("least") <= edits)
@@ -269,23 +291,28 @@ def near_links(docs: DataFrame, places: DataFrame, edits: int, shortest: int) ->
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    links = written(_verified(pairs.distinct(), lines, edits), "links")
+    links = written(_verified(pairs.distinct(), lines, of), "links")
     dropped(members, lines, counts, *found)
     released(spark)
     return links
 
 
-def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", edits: int = EDITS, shortest: int = SHORTEST, every: bool = False) -> DataFrame:
     """One row per line of at least ``shortest`` characters, without white space at its ends: id, line_no (from 0),
     n_links (different lines within ``edits`` edits), class_id and class_line_no (the first place, by id and line
     number, of the lines reachable over links and copies), kept (whether it is that place).
 
+    With ``every``, lines under ``shortest`` that aren't blank take part too.  Two lines of which the shorter is under
+    ``shortest`` are linked within fewer edits, in proportion to its length (by default one from 10 characters on and
+    none below); exact copies of any length form classes.
+
     Null and empty texts have no such line; rows without id form classes, but come after all others; repeated rows of
     one id are one document, and both keep its lines.  Columns other than the two named are ignored.
     """
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    places = written(_occurrences(rows, edits, shortest), "places")
-    links = near_links(rows, places, edits, shortest)
+    least, of = (1 if every else shortest), functools.partial(allowed, edits=edits, shortest=shortest if every else 0)
+    places = written(_occurrences(rows, of, least), "places")
+    links = near_links(rows, places, edits, of, least)
     both = links.select(F.col("a").alias("h"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("h"), F.col("a").alias("to")))
     degree = both.groupBy("h").agg(F.count_distinct("to").alias("n_links"))
     comp = components(links).withColumnRenamed("node", "h").withColumnRenamed("component", "class")
@@ -306,11 +333,11 @@ def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 
 
 def without_duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """``docs`` without the lines that ``duplicate_lines`` doesn't keep; documents that lose all their text go.
+    """``docs`` without the lines of any length that ``duplicate_lines`` doesn't keep; documents that lose all their text go.
 
     Columns stay as they are; rows without id stay whole.
     """
-    gone = duplicate_lines(docs, text, ident, edits, shortest).filter(~F.col("kept") & F.col("id").isNotNull())
+    gone = duplicate_lines(docs, text, ident, edits, shortest, every=True).filter(~F.col("kept") & F.col("id").isNotNull())
     gone = written(gone.groupBy("id").agg(F.collect_set("line_no").alias("lines")), "gone")
     released(docs.sparkSession)
     names = docs.columns

@@ -44,7 +44,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import duplicate_lines
 
-    out = duplicate_lines(_table(spark, sf_dir, "documents"))
+    out = duplicate_lines(_table(spark, sf_dir, "documents"), every=True)
     return out.withColumnRenamed("id", "doc_id").withColumnRenamed("class_id", "class_doc_id")
 
 

@@ -152,6 +152,42 @@ def test_duplicate_lines(spark, monkeypatch, pairs):
     assert sum(degree.values()) > 50 and got == want
 
 
+@pytest.mark.parametrize("pairs", [4])
+def test_lines_of_every_length(spark, monkeypatch, pairs):
+    monkeypatch.setattr(line_dedup, "BUCKET_PAIRS", pairs)
+    r, base = random.Random(9), [prose(3, 600 + i)[: 7 + i].strip() for i in range(18)]
+    rows = []
+    for d in range(30):
+        lines = []
+        for _ in range(6):
+            x = list(r.choice(base))
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(x))
+                x[k : k + r.randint(0, 1)] = r.choice("ab")
+            lines.append("".join(x))
+        rows.append((500 + d, "\n".join([*lines, "Les.", "x", " "])))
+    places = defaultdict(list)
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if x.strip():
+                places[x.strip()].append((i, k))
+    forest, degree = Forest(places), Counter()
+    for a in places:
+        for b in places:
+            e = min(2, min(len(a), len(b)) // 10)
+            if a < b and e and line_dedup.edit_distance(a, b, e) <= e:
+                forest.join(a, b)
+                degree[a] += 1
+                degree[b] += 1
+    head = {}
+    for x, p in places.items():
+        f = forest.find(x)
+        head[f] = min(head.get(f, p[0]), min(p))
+    want = {p: (head[forest.find(x)], degree[x], head[forest.find(x)] == p) for x, ps in places.items() for p in ps}
+    got = {(r.id, r.line_no): ((r.class_id, r.class_line_no), r.n_links, r.kept) for r in line_dedup.duplicate_lines(documents(spark, rows), every=True).collect()}
+    assert sum(degree.values()) > 50 and got == want
+
+
 def test_documents_without_duplicate_lines(spark):
     long_ = "this line is long enough to take part"
     rows = [(1, f"{long_}\nand another line that stays here"), (2, f"{long_}\nmine is a line of its own, too"), (3, long_ + "s"), (4, None), (5, ""), (None, long_)]
