@@ -2,7 +2,7 @@
 
 Suspicious stretches (letters mixed with look-alike signs, spaced-out letters, letters repeated) span a lattice of
 readings: a sign may stand for itself or for letters it resembles, a run of one letter for one or two of it, and a
-separator for nothing.  A Viterbi search under a character trigram model of the corpus and a channel cost for every
+separator for nothing or for the edge of a word.  A Viterbi search under a character trigram model of the corpus and a channel cost for every
 substitution picks the likeliest reading.  Words and word beginnings of the text and of its readings are the features
 of a logistic model.
 """
@@ -27,25 +27,29 @@ SAMPLE = 20_000
 FEATURES, SUPPORT, ODDS = 4096, 5, 1.0
 #: Symbols of the character model besides the edge of a word; other characters share one symbol.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz'àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-#: Longest stretch that is decoded; longer ones aren't words.
+#: Characters decoded at once; longer stretches are decoded in blocks that overlap by half.
 LONGEST = 40
 BEGINNING = 4
+#: Letters of the shortest word that is looked for inside joined ones.
+LEAST = 4
 
 # What signs are read as.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "¢": "c", "µ": "u"}
-#: Channel costs in nats: a look-alike, a letter written thrice or more, a doubled one, a separator, a sign that means nothing, and a
-# masked vowel.
-SUBSTITUTED, REPEATED, DOUBLED, SEPARATED, DROPPED, MASKED = 1.0, 0.7, 2.5, 0.2, 6.0, 1.5
+#: Channel costs in nats: a look-alike, a letter written thrice or more, a doubled one, a separator, a separator that ends a
+# word, a sign that means nothing, and a masked vowel.
+SUBSTITUTED, REPEATED, DOUBLED, SEPARATED, BROKEN, DROPPED, MASKED = 1.0, 0.7, 2.5, 0.2, 1.5, 6.0, 1.5
 MASKS = "*#%"
 
 _SIGNS = "".join(map(re.escape, LOOKALIKES))
 _SIGN = re.compile(f"[{_SIGNS}]+")
-_TOKEN = re.compile(rf"[\w{_SIGNS}*.\-]{{3,{LONGEST}}}")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[" + _SIGNS + r"])(?:[ .\-_*]{1,2}(?:[^\W_]|[" + _SIGNS + r"])){2,20}(?![^\W_])")
-_JOINT = re.compile(r"(?<=[^\W_])[.\-_*]+(?=[^\W_])")
-_INSIDE = re.compile(r"[^\W_]+(?:[.\-_*]+[^\W_]+)+")
+_TOKEN = re.compile(rf"[\w{_SIGNS}{MASKS}.\-]{{3,}}")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[" + _SIGNS + r"])(?:[ .\-_*#%]{1,2}(?:[^\W_]|[" + _SIGNS + r"])){2,}(?![^\W_])")
+_JOINT = re.compile(r"(?<=[^\W_])[.\-_*#%]+(?=[^\W_])")
+_INSIDE = re.compile(r"[^\W_]+(?:[.\-_*#%]+[^\W_]+)+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _TAIL = re.compile(r"(?:[!|+(<.\-*_]|([^\w\s])\1+)+$")
+_MORE = re.compile(r"([^\W\d_])\1{3,}")
+_JOINED = re.compile(r"[ .\-_*#%]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,7 +64,7 @@ def folded(text: str) -> str:
 # the character model
 
 N_SYMBOLS = len(ALPHABET) + 2
-_CODE = {c: i + 2 for i, c in enumerate(ALPHABET)}
+_CODE = {" ": 0} | {c: i + 2 for i, c in enumerate(ALPHABET)}
 _TABLE = np.ones(0x10000, np.uint8)
 for _c, _i in _CODE.items():
     _TABLE[ord(_c)] = _i
@@ -119,7 +123,7 @@ class Decoder:
                 if not sign.isalnum():
                     ways.append(("", DROPPED * n))
             else:
-                ways = [("", SEPARATED)]
+                ways = [("", SEPARATED), (" ", BROKEN)]
                 if sign in MASKS:
                     ways += [(x * n, MASKED * n) for x in "aeiou"]
             out.append(ways)
@@ -154,42 +158,79 @@ class Decoder:
 
 
 def _around(text: str, places) -> set[str]:
-    """The pieces between white space that hold one of ``places`` (matches in order), cut to what one stretch may span."""
+    """The pieces between white space that hold one of ``places`` (matches in order)."""
     out, end = set(), 0
     for m in places:
         if m.start() < end:
             continue
-        i, j = m.start(), m.end()
-        low, high = max(0, i - LONGEST), min(len(text), j + LONGEST)
-        left, right = text[low:i].split(), text[j:high].split()
-        i -= len(left[-1]) if left and not text[i - 1].isspace() else 0
-        end = j + (len(right[0]) if right and not text[j].isspace() else 0)
+        i, j, reach = m.start(), m.end(), LONGEST
+        while i and not text[i - 1].isspace():
+            left = text[max(0, m.start() - reach) : m.start()].split()[-1]
+            i = m.start() - len(left)
+            if len(left) < reach:
+                break
+            reach *= 2
+        reach = LONGEST
+        while j < len(text) and not text[j].isspace():
+            right = text[m.end() : m.end() + reach].split()[0]
+            j = m.end() + len(right)
+            if len(right) < reach:
+                break
+            reach *= 2
+        end = j
         out.add(text[i:end])
     return out
 
 
+def _blocks(stretch: str):
+    """The stretch, or blocks of LONGEST characters that overlap by half."""
+    if len(stretch) <= LONGEST:
+        return [stretch]
+    half = LONGEST // 2
+    return [stretch[k : k + LONGEST] for k in range(0, len(stretch) - half, half)]
+
+
 def stretches(text: str) -> set[str]:
-    """The suspicious stretches of a folded text."""
+    """The suspicious stretches of a folded text, long ones in blocks; a letter is there three times in a run at most."""
+    text = _MORE.sub(r"\1\1\1", text)
     out = set()
     for piece in _around(text, _SIGN.finditer(text)):
         for m in _TOKEN.finditer(piece):
-            s = _TAIL.sub("", m[0].strip(".-*_"))
+            s = _TAIL.sub("", m[0].strip(".-*_#%"))
             if any(c.isalpha() for c in s) and any(c in LOOKALIKES for c in s):
                 out.add(s)
     out.update(m[0] for m in _SPACED.finditer(text))
     for piece in _around(text, _JOINT.finditer(text)):
-        out.update(m[0] for m in _INSIDE.finditer(piece) if len(m[0]) <= LONGEST)
+        out.update(m[0] for m in _INSIDE.finditer(piece))
     for piece in _around(text, _TRIPLE.finditer(text)):
-        out.update(w for w in _WORD.findall(piece) if len(w) <= LONGEST and _TRIPLE.search(w))
+        out.update(w for w in _WORD.findall(piece) if _TRIPLE.search(w))
+    out = {b for s in out for b in _blocks(s)}
     return {s for s in out if len(s) > 2 and any(c.isalpha() for c in s) and not (s.isalpha() and not _TRIPLE.search(s))}
 
 
-def features(text: str | None, decoder: Decoder) -> set[str]:
-    """Words of a text and of its restored stretches, and the beginnings (marked ``^``) of longer ones."""
+def _inner(joined: str, known) -> set[str]:
+    """Words of ``known`` that cover most of ``joined`` without overlap; the fewest that do."""
+    best: list[tuple[int, int, tuple]] = [(0, 0, ())]
+    for j in range(1, len(joined) + 1):
+        most = best[j - 1]
+        for i in range(max(0, j - LONGEST), j - LEAST + 1):
+            if joined[i:j] in known:
+                most = max(most, (best[i][0] + j - i, best[i][1] - 1, (*best[i][2], joined[i:j])))
+        best.append(most)
+    return set(best[-1][2])
+
+
+def features(text: str | None, decoder: Decoder, known=()) -> set[str]:
+    """Words of a text and of its restored stretches, and the beginnings (marked ``^``) of longer ones.  A trigram model
+    can't always tell where words that are spaced out or joined part; words of ``known`` are looked for inside them."""
     text = folded(text or "")
     words = set(_WORD.findall(text))
     for s in stretches(text):
-        words.update(_WORD.findall(decoder.read(s)))
+        read = decoder.read(s)
+        own = _WORD.findall(read)
+        words.update(own)
+        if known and _JOINED.search(s) and not known.issuperset(own):
+            words.update(_inner("".join(own), known))
     return words | {"^" + w[:BEGINNING] for w in words if len(w) > BEGINNING}
 
 
@@ -198,9 +239,10 @@ class Model:
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float], bias: float):
         self.decoder, self.weights, self.bias = Decoder(costs), weights, bias
+        self.known = {f for f in weights if len(f) >= LEAST and f[0] != "^"}
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[f] for f in features(text, self.decoder) & self.weights.keys())
+        z = self.bias + sum(self.weights[f] for f in features(text, self.decoder, self.known) & self.weights.keys())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

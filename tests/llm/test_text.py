@@ -178,6 +178,12 @@ def test_restoring(model, text, word):
     assert word in {w for s in toxicity.stretches(folded) | {folded} for w in model.decoder.read(s).split()} | set(folded.split())
 
 
+@pytest.mark.parametrize("text, word", [("st" + "u" * 50 + "pid", "stupid"), ("you are a i d i o t", "idiot"), ("y o u i d i o t", "idiot"), ("you.are.a.very.very.very.very.silly.person.st.up.id", "stupid"), ("it's " + "a b c d e f g h i j k l m " * 2 + "s t u p i d", "stupid"), ("cl#wn", "clown"), ("cl%wn", "clown"), ("x" * 3 + "." + "so.much.of.this.is.here.and.then.comes.an.1d10t", "idiot")])
+def test_restoring_long_spaced_and_masked(model, text, word):
+    assert word in toxicity.features(text, model.decoder, {"idiot", "stupid", "clown", "person"})
+    assert word not in re.findall(r"\w+", text)
+
+
 def test_plain_words_are_no_stretches():
     assert toxicity.stretches(toxicity.folded("The better book, well: it's 1984 or 3.5 at all!")) <= {"it's"}
 
