@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of the kernels takes, unless a single text is longer.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 #: Texts that one pass takes at most.
 CHUNK_ROWS = 4096
 

@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, dropped, joined_by_key, released, written
+from .shared import components, dropped, fresh, joined_by_key, released, written
 
 #: Edits between near-duplicate lines, and the characters of the shortest line that may differ by so many.
 EDITS, SHORTEST = 2, 20
 #: Pairs of a bucket above which it is split by another segment, and classes of characters whose counts bound edits.
 BUCKET_PAIRS, CLASSES = 65_536, 24
+#: Hashes of lines that a task remembers so as not to send a line twice; a line sent twice changes nothing.
+SEEN = 200_000
 
 
 _H = xxhash.xxh3_64_intdigest
@@ -162,7 +164,7 @@ def _occurrences(docs: DataFrame, edits, least: int) -> DataFrame:
                         h = _hash(line)
                         new = h not in seen
                         if new:
-                            if len(seen) > 1_000_000:
+                            if len(seen) > SEEN:
                                 seen.clear()
                             seen.add(h)
                         ids.append(i)
@@ -187,7 +189,7 @@ def _texts(docs: DataFrame, least: int) -> DataFrame:
                     for _, line in _lines(t):
                         line = line.strip()
                         if len(line) >= least and (h := _hash(line)) not in seen:
-                            if len(seen) > 1_000_000:
+                            if len(seen) > SEEN:
                                 seen.clear()
                             seen.add(h)
                             hs.append(h)
@@ -335,7 +337,7 @@ def duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 def without_duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "doc_id", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` without the lines of any length that ``duplicate_lines`` doesn't keep; documents that lose all their text go.
 
-    Columns stay as they are; rows without id stay whole.
+    Columns stay as they are, whatever their names; rows without id and rows with a null text stay whole.
     """
     gone = duplicate_lines(docs, text, ident, edits, shortest, every=True).filter(~F.col("kept") & F.col("id").isNotNull())
     gone = written(gone.groupBy("id").agg(F.collect_set("line_no").alias("lines")), "gone")
@@ -356,6 +358,7 @@ def without_duplicate_lines(docs: DataFrame, text: str = "text", ident: str = "d
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay, pa.bool_()))
 
-    gone = gone.select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
-    joined = docs.join(gone.hint("merge"), F.col(ident).cast("long") == F.col("_id"), "left").drop("_id")
+    key, drop = fresh(docs, "_id", "_lines")
+    gone = gone.select(F.col("id").alias(key), F.col("lines").alias(drop))
+    joined = docs.join(gone.hint("merge"), F.col(ident).cast("long") == F.col(key), "left").drop(key)
     return joined.mapInArrow(run, docs.schema)

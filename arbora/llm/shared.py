@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one part in so many of all rows; so at most this many keys are hot.
 HOT_PARTS = 1024
+#: Rows of an Arrow batch that Python workers and executors exchange while a table is written: whole texts are long rows.
+BATCH_ROWS = 1000
 
 
 _OWN: dict[str, str] = {}
@@ -34,10 +37,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs planned meanwhile hold at most BATCH_ROWS rows in an Arrow batch, or fewer where the session asks for that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before each that no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for t in tables:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Words, lists, text_chunks
-from .shared import dropped, joined_by_key, released, same, written
+from .shared import dropped, fresh, joined_by_key, released, same, written
 
 #: Words of a window and of an anchor.
 LENGTH, SEED = 35, 10
@@ -161,12 +161,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", l
 def cut_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with the words that ``remove_repeats`` removes cut out of the texts; documents whose words all go, go too.
 
-    What separates two kept words stays as it was; columns stay as they are.
+    What separates two kept words stays as it was; columns stay as they are, whatever their names.  Rows with a null or
+    blank text stay, rows without id are cut like any other.
     """
     changed = remove_repeats(docs, text, ident, length, seed, keep_text=True).filter("n_removed > 0")
-    changed = written(changed.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("text").alias("_text"), (F.col("n_words") == F.col("n_removed")).alias("_gone")).distinct(), "changed")
+    key, hashed, left, gone = fresh(docs, "_id", "_h", "_text", "_gone")
+    changed = changed.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("text").alias(left), (F.col("n_words") == F.col("n_removed")).alias(gone))
+    changed = written(changed.distinct(), "changed")
     released(docs.sparkSession)
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string")))
-    on = keyed[ident].cast("long").eqNullSafe(changed["_id"]) & keyed["_h"].eqNullSafe(changed["_th"])
-    out = keyed.join(changed.hint("merge"), on, "left").filter("_gone is null or not _gone")
-    return out.withColumn(text, F.coalesce("_text", text)).select(*docs.columns)
+    on = docs[ident].cast("long").eqNullSafe(changed[key]) & F.xxhash64(docs[text].cast("string")).eqNullSafe(changed[hashed])
+    out = docs.join(changed.hint("merge"), on, "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    return out.select(*(F.coalesce(left, text).alias(text) if c == text else F.col(c) for c in docs.columns))

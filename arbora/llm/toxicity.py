@@ -332,6 +332,20 @@ def score(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: tuple, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``least``, whole; columns stay as they are, whatever their names.  A null
+    text is scored like an empty one, and repeated rows go or stay together."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    i = docs.columns.index(text)
+
+    def run(batches):
+        own = Model(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < least for t in batch.column(i).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic", folds: int = 5) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 

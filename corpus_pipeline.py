@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.queries import TOKENIZER, tokenizer_path, tokenizer_pattern
-from arbora.llm.shared import released, written
+from arbora.llm.shared import fresh, released, small_batches, written
 
 
 #: Least similarity of near-duplicates on word shingles in the near-dedup stage; the query op5_minhash has its own of 85.
@@ -15,10 +15,12 @@ PERCENT = 80
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, whole.  The model is fitted on all documents of this stage and on labels."""
-    from arbora.llm.toxicity import fit, score
+    from arbora.llm.toxicity import fit, without_toxic
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, fit(docs, labels)).filter("score < 0.5").drop("score")
+    with small_batches(spark):
+        model = fit(docs, labels)
+    return without_toxic(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +35,15 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without id.  Rows without words are linked with nothing, and one of each id stays."""
     from arbora.llm.minhash import near_duplicates
 
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(rows, ident="_row", percent=PERCENT).select(F.col("id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
-    near = near.join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    row = fresh(docs, "_row")[0]
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows, ident=row, percent=PERCENT).select(F.col("id").alias("_row"), "n_shingles", F.col("component_id").alias("_group"))
+    near = near.join(rows.select(F.col(row).alias("_row"), "doc_id").hint("merge"), "_row")
     group = [F.when(F.col("n_shingles") > 0, F.col("_group")).alias("_group"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("_blank")]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))["_row"]
     stay = written(near.select("_row", "doc_id", *group).groupBy("_group", "_blank").agg(first.alias("_row")).select("_row"), "near")
     released(spark)
-    return rows.join(stay.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stay.withColumnRenamed("_row", row).hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
