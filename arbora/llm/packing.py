@@ -37,17 +37,19 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE file of the ``tokenizers`` library; special tokens' strings are ordinary text."""
+    """Ids of a byte-level BPE file of the ``tokenizers`` library; the strings of its added tokens stand for their ids
+    wherever a text holds them, as they do in that library."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        special = {"<|endoftext|>"}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, special = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        size = max(ranks.values()) + 1
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        size = max(*ranks.values(), *special.values()) + 1
         self.stops, self.opens = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         for token, i in ranks.items():
             text = token.decode("utf-8", "replace")
@@ -55,7 +57,7 @@ class Tokenizer:
             self.opens[i] = text[:1].isspace()
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def cut_places(tokens: np.ndarray, ends: np.ndarray, stops: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
