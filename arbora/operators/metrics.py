@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 
 def dice_scores(pairs: DataFrame) -> DataFrame:
-    """Dice overall (class 0: any foreground) and per class: class, dice; a class that neither has is absent, and
-    overall is 1 where there's no foreground at all."""
+    """Dice overall (class 0: places of equal foreground class on both sides) and per class: class, dice; a class that
+    neither has is absent, and overall is 1 where there's no foreground at all."""
     p, t = F.col("p"), F.col("t")
     tag = lambda c, both, n: F.struct(c.cast("int").alias("class"), both.cast("long").alias("both"), n.cast("long").alias("n"))
     hit = (p == t) & (p > 0)
-    rows = pairs.select(F.explode(F.array(tag(F.lit(0), (p > 0) & (t > 0), (p > 0).cast("int") + (t > 0).cast("int")), tag(p, hit, F.lit(1)), tag(t, F.lit(False), F.lit(1)))).alias("r")).select("r.*")
-    rows = rows.withColumn("any", F.lit(1))
-    # the background's own rows of classes p = 0 and t = 0 are no class
-    overall = pairs.agg(F.lit(0).cast("int").alias("class"), (F.lit(2.0) * F.count_if((p > 0) & (t > 0))).alias("a"), (F.count_if(p > 0) + F.count_if(t > 0)).alias("b"))
+    rows = pairs.select(F.explode(F.array(tag(p, hit, F.lit(1)), tag(t, F.lit(False), F.lit(1)))).alias("r")).select("r.*")
+    overall = pairs.agg(F.lit(0).cast("int").alias("class"), (F.lit(2.0) * F.count_if(hit)).alias("a"), (F.count_if(p > 0) + F.count_if(t > 0)).alias("b"))
     each = rows.filter("class > 0").groupBy("class").agg((F.lit(2.0) * F.sum("both")).alias("a"), F.sum("n").alias("b"))
     return overall.unionByName(each).select("class", F.coalesce(F.try_divide("a", "b"), F.lit(1.0)).alias("dice"))
 

@@ -472,16 +472,16 @@ def tree_merged_potentials(spark, sf_dir):
 
 # metrics
 
-_PAIRS = "pairs AS (SELECT l_orderkey x, l_linenumber y, l_partkey z, (l_suppkey % 4)::INT p, (CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE l_suppkey % 4 END)::INT t FROM lineitem)"
+_PAIRS = "pairs AS (SELECT l_orderkey x, l_linenumber y, l_partkey z, (l_suppkey % 4)::INT p, (CASE WHEN l_partkey % 5 = 0 THEN 0 WHEN l_partkey % 7 = 0 THEN (l_suppkey + 1) % 4 ELSE l_suppkey % 4 END)::INT t FROM lineitem)"
 
 
 def _pairs(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem")
     p = (F.col("l_suppkey") % 4).cast("int")
-    return li.select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("z"), p.alias("p"), F.when(F.col("l_partkey") % 5 == 0, 0).otherwise(p).alias("t"))
+    return li.select(F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("z"), p.alias("p"), F.when(F.col("l_partkey") % 5 == 0, 0).when(F.col("l_partkey") % 7 == 0, ((F.col("l_suppkey") + 1) % 4).cast("int")).otherwise(p).alias("t"))
 
 
-_DICE = "SELECT 0 AS class, round(2.0 * sum((p > 0 AND t > 0)::INT) / (sum((p > 0)::INT) + sum((t > 0)::INT)), 6)::DOUBLE dice FROM {0} UNION ALL SELECT c::INT, round(2.0 * sum((p = c AND t = c)::INT) / (sum((p = c)::INT) + sum((t = c)::INT)), 6)::DOUBLE FROM {0}, (SELECT unnest([1, 2, 3]) c) GROUP BY c"
+_DICE = "SELECT 0 AS class, round(2.0 * sum((p > 0 AND p = t)::INT) / (sum((p > 0)::INT) + sum((t > 0)::INT)), 6)::DOUBLE dice FROM {0} UNION ALL SELECT c::INT, round(2.0 * sum((p = c AND t = c)::INT) / (sum((p = c)::INT) + sum((t = c)::INT)), 6)::DOUBLE FROM {0}, (SELECT unnest([1, 2, 3]) c) GROUP BY c"
 
 
 @query(f"WITH {_PAIRS} " + _DICE.format("pairs"))

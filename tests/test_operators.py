@@ -167,6 +167,12 @@ def test_presets():
 
     assert preset("global_coro").stop_radius == 0.4 and not preset("global_coro").prevent_retrace
     assert all(preset(n).as_dict()["add_radius"] >= 0 for n in PRESETS)
+    base = preset()
+    assert (base.min_radius, base.min_resolution, base.max_foreground, base.stop_radius) == (0.3, 6, 0.3, 0.46)
+    assert (base.assembly_every, base.assembly_buffer, base.max_branch_steps) == (20, 20, 1000)
+    assert {n for n in PRESETS if not preset(n).restart_branch} == {"global_default", "global_pulm"}
+    assert {n for n in PRESETS if preset(n).chances == 3} == {"aorta_tutorial", "global_aorta", "global_coro", "global_cereb"}
+    assert {n for n in PRESETS if preset(n).max_branch_steps == 100} == {"global_coro", "global_cereb", "global_pulm", "global_default"}
     with pytest.raises(FileNotFoundError):
         preset("none")
 
