@@ -166,7 +166,8 @@ def test_pipeline(spark, tmp_path):
     from .test_dedup import brute_repeats, shingles
 
     sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = ["score", "_id", "_lines", "_row", "_group", "_h", "_th", "_text", "_gone", "id"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit(c) for c in extra})
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     for name, stage in pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
@@ -174,9 +175,10 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
         if name == "packing":
-            assert {r.id if "id" in out.columns else r.doc_id for r in out.collect()} == set(before)
+            assert {r.doc_id for r in out.collect()} == set(before)
             break
         assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*extra).distinct().collect()} == {tuple(extra)}
         after = {r.doc_id: r.text for r in out.collect()}
         assert set(after) <= set(before)
         gone = set(before) - set(after)
@@ -186,11 +188,11 @@ def test_pipeline(spark, tmp_path):
         elif name == "minhash":
             sets = {i: shingles(t) for i, t in before.items()}
             for i in gone:
-                assert any(j < i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in sets if j != i) or True
+                assert any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets if j != i)
             left = sorted(after)
             for a in left:
                 for b in left:
-                    assert a >= b or not sets[a] or 100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b])
+                    assert a >= b or not sets[a] or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
         elif name == "substring_dedup":
             want = {x[0]: x[4] for x in brute_repeats(list(before.items())) if x[4] or not x[2]}
             assert {i: " ".join(t.encode().decode().split()) for i, t in after.items()} == {i: " ".join(t.split()) for i, t in want.items()}
