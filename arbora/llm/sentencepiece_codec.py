@@ -8,6 +8,7 @@ projects through the alignment to a span of the original UTF-8 bytes.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
@@ -187,19 +188,36 @@ class Codec:
                 sizes.append(len(p))
         return ids, sizes
 
-    def segment(self, word: str) -> tuple[str, int, str]:
-        """(ids joined by commas, how many, the text they decode to) of a segment; remembered."""
+    def segment(self, word: str) -> tuple[str, int, str, bytes]:
+        """(ids joined by commas, how many, the text they decode to, advances and lengths) of a segment; remembered.
+
+        Advances and lengths are pairs of native 32-bit numbers, a pair a piece: bytes of the original that the piece moves
+        on by, and bytes of its span; a space sign is one byte.  Bytes of a character share its span, and the last moves on.
+        """
         hit = self.young.get(word)
         if hit is None:
             hit = self.old.get(word)
             if hit is None:
-                ids = self.pieces_of(word)[0]
-                hit = ",".join(map(str, ids)), len(ids), self._surface(ids)
+                ids, sizes = self.pieces_of(word)
+                hit = ",".join(map(str, ids)), len(ids), self._surface(ids), self._steps(word, sizes)
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}
             self.young[word] = hit
         return hit
 
+    @staticmethod
+    def _steps(word: str, sizes: list[int]) -> bytes:
+        out, at, run = array.array("i"), 0, 0
+        for size in sizes:
+            if not size:
+                run += 1
+                continue
+            part = word[at : at + size]
+            width = len(part.encode("utf-8")) - 2 * part.count(SPACE)
+            out.extend([0, width] * run + [width, width])
+            at, run = at + size, 0
+        return out.tobytes()
+
     # the interface
 
     def encode(self, text: str | None) -> list[int]:
@@ -248,17 +266,33 @@ class Codec:
         text = self._surface(ids)
         return text[1:] if (self.prefix or self.trim) and text[:1] == " " else text
 
-    def digest(self, text: str | None) -> tuple[int, str, str, int]:
-        """(n_tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text, end of the last piece's span)."""
-        norm, spans = self.normalised(text or "")
+    def digest(self, text: str | None) -> tuple[int, str, str, str, int]:
+        """(n_tokens, SHA-256 of the ids joined by commas, of the decoded text, and of the spans as ``span_digest`` takes them, end
+        of the last span).  The spans are those of ``encode_spans``, put together from the remembered segments."""
+        text = text or ""
+        norm, spans = self.normalised(text)
         get, segment = self.young.get, self.segment
         hits = [get(w) or segment(w) for w in self.split.findall(norm)]
         decoded = "".join([h[2] for h in hits])
         if (self.prefix or self.trim) and decoded[:1] == " ":
             decoded = decoded[1:]
-        end = spans[-1][1] if spans else len((text or "").encode("utf-8"))
         ids = ",".join([h[0] for h in hits])
-        return sum([h[1] for h in hits]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), end
+        if spans is not None or SPACE in text:  # a character of the original may be of other length than the normalised one
+            both = np.array([x[1:] for x in self.encode_spans(text)], np.int64).reshape(-1, 2)
+        else:
+            steps = np.frombuffer(b"".join([h[3] for h in hits]), np.int32).reshape(-1, 2).astype(np.int64)
+            ends = np.cumsum(steps[:, 0])
+            begins = ends - steps[:, 0]
+            both = np.stack([begins, begins + steps[:, 1]], axis=1)
+            if self.prefix:
+                both = np.maximum(both - 1, 0)  # the leading space sign stands for no byte
+        end = int(both[-1, 1]) if len(both) else 0
+        return sum([h[1] for h in hits]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), span_digest(both), end
+
+
+def span_digest(spans) -> str:
+    """SHA-256 of (begin, end) pairs as little-endian 64-bit numbers in the order of the pieces."""
+    return hashlib.sha256(np.asarray(spans, "<i8").tobytes()).hexdigest()
 
 
 @functools.cache
@@ -289,7 +323,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ident
 
 def encode_digests(docs: DataFrame, model_path: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Like ``encode_documents``, but with digests in place of the ids and the decoded text: id, n_tokens, ids_sha256,
-    decoded_sha256, n_bytes (where the last piece ends in the original)."""
+    decoded_sha256, spans_sha256 (of every piece's span in the original), n_bytes (where the last span ends there)."""
 
     def run(batches):
         codec = codec_of(model_path)
@@ -297,8 +331,8 @@ def encode_digests(docs: DataFrame, model_path: str, text: str = "text", ident:
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
                 out = [codec.digest(t) for t in rows.column(1).to_pylist()]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array([x[k] for x in out], kinds[k]) for k in range(4)]], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array([x[k] for x in out], kinds[k]) for k in range(5)]], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "n_bytes"])
 
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_bytes long")

@@ -117,11 +117,12 @@ def test_encoding_is_the_librarys():
         ids = lib.encode(t)
         assert codec.encode(t) == ids
         assert codec.decode(ids) == lib.decode(ids)
-        n, a, b, end = codec.digest(t)
+        n, a, b, where, end = codec.digest(t)
         assert (n, a) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert b == hashlib.sha256(lib.decode(ids).encode()).hexdigest() and end == len(t.encode())
         spans = codec.encode_spans(t)
         assert [s[0] for s in spans] == ids
+        assert where == sentencepiece_codec.span_digest([s[1:] for s in spans])
         at = 0
         for _, a, b in spans:
             assert a <= b and a <= at
@@ -159,6 +160,12 @@ def test_encoded_documents(spark):
     for r in sentencepiece_codec.encode_documents(documents(spark, rows), PIECES).collect():
         t = next(t for i, t in rows if i == r.id) or ""
         assert list(r.ids) == lib.encode(t) and r.decoded == lib.decode(list(r.ids)) and len(r.begins) == len(r.ends) == len(r.ids)
+    codec = sentencepiece_codec.Codec(PIECES)
+    table = [*rows, (7001, "▁ a▁▁ b"), (7002, " \U0001f600\U0001f600▁"), (7003, "")]
+    for r in sentencepiece_codec.encode_digests(documents(spark, table), PIECES).collect():
+        t = next(t for i, t in table if i == r.id) or ""
+        spans = codec.encode_spans(t)
+        assert r.spans_sha256 == sentencepiece_codec.span_digest([s[1:] for s in spans]) and r.n_tokens == len(spans) and r.n_bytes == len(t.encode())
     assert sentencepiece_codec.encode_digests(documents(spark), PIECES).count() == len(texts())
     assert sentencepiece_codec.encode_digests(documents(spark, []), PIECES).count() == 0
 
