@@ -37,9 +37,12 @@ def lengths(points: DataFrame, line: str = "line_id", order: str = "seq", closed
     return out.drop("first", "last")
 
 
-def longest_first(points: DataFrame, line: str = "line_id", order: str = "seq") -> DataFrame:
-    """Per line its length and rank, the longest first, ties to the smaller line.  The rank is over one row a line."""
+def longest_first(points: DataFrame, line: str = "line_id", order: str = "seq", places: int | None = None) -> DataFrame:
+    """Per line its length (rounded to ``places``, if given) and rank, the longest first, ties to the smaller line.  Lines
+    whose rounded lengths agree tie.  The rank is over one row a line."""
     out = lengths(points, line, order)
+    if places is not None:
+        out = out.withColumn("length", F.round("length", places))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("length"), line)))
 
 

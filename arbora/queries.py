@@ -325,7 +325,7 @@ def line_closed_lengths(spark, sf_dir):
 
 @query(f"WITH {_STEP}, l AS (SELECT line_id, round(sum(step), 4) length FROM ar GROUP BY 1) SELECT line_id, length, (row_number() OVER (ORDER BY length DESC, line_id))::INT rank FROM l")
 def line_longest_first(spark, sf_dir):
-    return polyline.longest_first(event_lines(spark, sf_dir)).select("line_id", F.round("length", 4).alias("length"), "rank")
+    return polyline.longest_first(event_lines(spark, sf_dir), places=4).select("line_id", "length", "rank")
 
 
 @query(f"WITH {LINES}, d AS (SELECT line_id, seq, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) dy, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) dz FROM lines WINDOW w AS (PARTITION BY line_id ORDER BY seq)), n AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) n FROM d) SELECT line_id, seq, CASE WHEN n >= 1e-12 THEN round(dx / n, 6) ELSE 0 END + 0.0 tx, CASE WHEN n >= 1e-12 THEN round(dy / n, 6) ELSE 0 END + 0.0 ty, CASE WHEN n >= 1e-12 THEN round(dz / n, 6) ELSE 1 END + 0.0 tz FROM n")

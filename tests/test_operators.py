@@ -109,6 +109,22 @@ def test_lines_of_one_point_and_repeated_points(spark):
         polyline.resample(rows, 1)
 
 
+def test_lengths_that_round_alike_tie(spark, tmp_path):
+    import duckdb
+
+    from arbora import queries
+
+    rows = pd.DataFrame([(i, 97 * i, 13 * u, float(v)) for i, (u, v) in enumerate([(1, 0), (1, 1.00001), (2, 0), (2, 1.00002), (3, 0), (3, 2)])], columns=["ts", "event_id", "user_id", "value"])
+    rows.to_parquet(tmp_path / "events.parquet")
+    got = queries.QUERIES["line_longest_first"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(queries.ORACLES["line_longest_first"]).df()
+    assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, want.to_numpy())) == [(13, 1.0, 2), (26, 1.0, 3), (39, 2.0, 1)]
+    lines = spark.createDataFrame([(u, i, v, 0.0, 0.0) for u, w in ((1, 1.00001), (2, 1.00002)) for i, v in enumerate((0.0, w))], "line_id int, seq int, x double, y double, z double")
+    assert {r.line_id: r["rank"] for r in polyline.longest_first(lines).collect()} == {1: 2, 2: 1}
+
+
 def test_nearest_without_points(spark):
     none = spark.createDataFrame([], "point_id long, x double, y double, z double")
     one = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "query_id long, x double, y double, z double")
