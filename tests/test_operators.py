@@ -125,6 +125,43 @@ def test_lengths_that_round_alike_tie(spark, tmp_path):
     assert {r.line_id: r["rank"] for r in polyline.longest_first(lines).collect()} == {1: 2, 2: 1}
 
 
+def _nearest_segments(q, s, radius):
+    """By brute force: query -> (segment, distance)."""
+    a, b = s[:, :3], s[:, 3:]
+    ab = b - a
+    size = (ab * ab).sum(1)
+    out = {}
+    for i, p in enumerate(q):
+        t = np.where(size < 1e-30, 0, np.clip(((p - a) * ab).sum(1) / np.where(size < 1e-30, 1, size), 0, 1))
+        d = np.sqrt(((p - a - t[:, None] * ab) ** 2).sum(1))
+        k = min(range(len(d)), key=lambda j: (round(d[j], 12), j))
+        if d[k] <= radius:
+            out[i] = (k, d[k])
+    return out
+
+
+def test_nearest_segments_of_dense_sparse_and_odd_places(spark):
+    rng = np.random.default_rng(5)
+    q = np.vstack([rng.normal(0, 0.02, (900, 3)), rng.uniform(-2, 2, (60, 3)), [[0.5, 0.5, 0.5]] * 40, [[50.0, 0, 0]]])
+    a = np.vstack([rng.normal(0, 0.02, (900, 3)), rng.uniform(-2, 2, (30, 3)), [[0.5, 0.5, 0.25]] * 30])
+    b = np.vstack([rng.normal(0, 0.02, (900, 3)), rng.uniform(-2, 2, (30, 3)), [[0.5, 0.25, 0.5]] * 20, [[0.5, 0.5, 0.25]] * 10])
+    s = np.hstack([a, b])
+    queries = pd.DataFrame(q, columns=list("xyz")).assign(query_id=range(len(q)))
+    segments = pd.DataFrame(s, columns=["ax", "ay", "az", "bx", "by", "bz"]).assign(segment_id=range(len(s)))
+    radii = spatial._segment_radii(spark.createDataFrame(queries), spark.createDataFrame(segments), 1.0)
+    assert len(radii) > 1 and radii[-1] == 1.0  # the dense part isn't searched with the whole radius
+    odd = pd.DataFrame([(np.nan, 0.0, 0.0, 5001), (np.inf, 0.0, 0.0, 5002), (0.0, -np.inf, 0.0, 5003)], columns=["x", "y", "z", "query_id"])
+    ends = pd.DataFrame([(np.inf, 0.0, 0.0, 0.0, 0.0, 0.0, 5001), (0.0, 0.0, np.nan, 0.0, 0.0, 0.0, 5002)], columns=segments.columns)
+    for radius in (1.0, 0.01):
+        got = spatial.nearest_segment(spark.createDataFrame(pd.concat([queries, odd])), spark.createDataFrame(pd.concat([segments, ends])), radius).collect()
+        want = _nearest_segments(q, s, radius)
+        assert {r.query_id: r.segment_id for r in got} == {i: k for i, (k, _) in want.items()} and len(got) == len(want)
+        assert all(abs(r.distance - want[r.query_id][1]) < 1e-12 for r in got)
+    none = spark.createDataFrame(segments).limit(0)
+    assert spatial.nearest_segment(spark.createDataFrame(queries), none, 1.0).count() == 0
+    assert spatial.nearest_segment(spark.createDataFrame(queries).limit(0), spark.createDataFrame(segments), 1.0).count() == 0
+
+
 def test_nearest_without_points(spark):
     none = spark.createDataFrame([], "point_id long, x double, y double, z double")
     one = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "query_id long, x double, y double, z double")
