@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Buckets of the two multinomials: what is gathered on the driver is bounded by them.
 BUCKETS = 1 << 16
-#: Trusted documents that the target is fitted on at most: those with the smallest hashes of their ids.
-TRUSTED = 20_000
 #: Pseudo-count of a bucket, and the mean log ratio (nats an n-gram) from which a document passes.
 SMOOTHING, THRESHOLD = 1.0, -0.5
 #: Log ratios are rounded to this fraction, so that sums don't depend on their order.
@@ -40,10 +38,10 @@ def hashed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str, ident: str) -> list[int]:
-    """The log ratio of each bucket in 1 / UNIT; all zero without trusted documents."""
-    some = trusted.select(F.col(ident).cast("long").alias(ident)).filter(F.col(ident).isNotNull()).distinct()
-    some = some.orderBy(F.xxhash64(ident), ident).limit(TRUSTED).withColumn("trusted", F.lit(1))
-    flagged = docs.select(F.col(ident).cast("long").alias(ident), text).join(F.broadcast(some), ident, "left")
+    """The log ratio of each bucket in 1 / UNIT, counted over all documents and all trusted ones; all zero without
+    trusted documents.  Spark broadcasts the trusted ids where they are few, and else shuffles both sides."""
+    known = trusted.select(F.col(ident).cast("long").alias(ident)).filter(F.col(ident).isNotNull()).distinct().withColumn("trusted", F.lit(1))
+    flagged = docs.select(F.col(ident).cast("long").alias(ident), text).join(known, ident, "left")
     grams = hashed(flagged, text).select("trusted", F.explode("grams").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     rows = counts.collect()

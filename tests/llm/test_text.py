@@ -280,6 +280,17 @@ def test_rules_and_ratios(spark):
     assert quality_rules.quality_rules(documents(spark, []), labels).count() == 0
 
 
+def test_ratios_count_every_trusted_document(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    for threshold in ("10MB", "-1"):  # ids broadcast, and both sides shuffled
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert set(quality_rules.log_ratios(docs, docs, "text", "doc_id")) == {0}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rules_run_no_python(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     plan = quality_rules.quality_rules(docs, labels.filter("quality = 1"))._jdf.queryExecution().executedPlan().toString()
