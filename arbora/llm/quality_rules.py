@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import dropped, written
+
 #: Buckets of the two multinomials: what is gathered on the driver is bounded by them.
 BUCKETS = 1 << 16
+#: Blocks of trusted ids that are broadcast at most; adjoining ids of 67 million documents have as many.
+BLOCKS = 1 << 20
 #: Pseudo-count of a bucket, and the mean log ratio (nats an n-gram) from which a document passes.
 SMOOTHING, THRESHOLD = 1.0, -0.5
 #: Log ratios are rounded to this fraction, so that sums don't depend on their order.
@@ -37,14 +41,34 @@ def hashed(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("grams", F.concat("ends", F.transform("wh", _bucket))).drop("ends")
 
 
+def _place(ident: Column) -> tuple[Column, Column]:
+    """The block of 64 ids in which ``ident`` lies, and its bit there."""
+    return F.shiftright(ident, 6), ident.bitwiseAND(F.lit(63)).cast("int")
+
+
+def blocks_of(ids: DataFrame, ident: str) -> DataFrame:
+    """The ids as a set: a row (block, mask) per block of 64 ids that holds any; null ids are left out."""
+    block, bit = _place(F.col(ident).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return ids.select(block.alias("block"), one.alias("one")).filter("block IS NOT NULL").groupBy("block").agg(F.bit_or("one").alias("mask"))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str, ident: str) -> list[int]:
     """The log ratio of each bucket in 1 / UNIT, counted over all documents and all trusted ones; all zero without
-    trusted documents.  Spark broadcasts the trusted ids where they are few, and else shuffles both sides."""
-    known = trusted.select(F.col(ident).cast("long").alias(ident)).filter(F.col(ident).isNotNull()).distinct().withColumn("trusted", F.lit(1))
-    flagged = docs.select(F.col(ident).cast("long").alias(ident), text).join(known, ident, "left")
-    grams = hashed(flagged, text).select("trusted", F.explode("grams").alias("bucket"))
+    trusted documents.
+
+    The trusted ids are written as blocks, in which ids that lie close take a bit each.  At most BLOCKS of them are
+    broadcast, so that no text moves; of more, which many scattered ids have, Spark joins both sides as their sizes ask.
+    """
+    known = written(blocks_of(trusted, ident), "trusted")
+    few = known.count() <= BLOCKS
+    block, bit = _place(F.col(ident).cast("long"))
+    flagged = docs.select(F.col(text).alias("text"), block.alias("block"), bit.alias("bit")).join(F.broadcast(known) if few else known, "block", "left")
+    flagged = flagged.select("text", F.when(F.getbit("mask", "bit") == 1, 1).alias("trusted"))
+    grams = hashed(flagged, "text").select("trusted", F.explode("grams").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     rows = counts.collect()
+    dropped(known)
     raw, target = sum(r.raw for r in rows), sum(r.target for r in rows)
     if not target:
         return [0] * BUCKETS

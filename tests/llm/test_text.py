@@ -291,6 +291,57 @@ def test_ratios_count_every_trusted_document(spark):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def shuffled_bytes(spark, run, group):
+    """What ``run`` returns, and the bytes that its jobs wrote to shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert stages
+    return out, sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_many_trusted_ids_move_no_text(spark, monkeypatch):
+    # the ids take more than the threshold; a text is one long word, so counts are small
+    n = 20_480
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(%s) AS text" % ", ".join(f"sha2(string(id * 16 + {k}), 256)" for k in range(16)))
+    size = n * 16 * 64
+    ratios = lambda: quality_rules.log_ratios(docs, docs.select("doc_id").filter("doc_id % 3 = 0"), "text", "doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in ("100KB", "1KB"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            few, moved = shuffled_bytes(spark, ratios, f"op4-{threshold}")
+            assert moved < size / 8
+        monkeypatch.setattr(quality_rules, "BLOCKS", n // 64 - 1)  # one block too many: both sides are shuffled
+        many, moved = shuffled_bytes(spark, ratios, "op4-many")
+        assert moved > size / 2 and many == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [quality_rules.BLOCKS, 0])
+def test_trusted_ids_at_the_edges_of_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(quality_rules, "BLOCKS", most)
+    edge = [0, 1, 62, 63, 64, 65, 127, 128, 1 << 31, (1 << 32) + 31, (1 << 63) - 1]
+    ids = [*edge, *(-i - 1 for i in edge)]
+    docs = spark.createDataFrame([(i, f"w{i}") for i in ids] + [(None, "null")], "doc_id long, text string")
+    for k in range(3):
+        trusted = ids[k::3]
+        labels = spark.createDataFrame([(i,) for i in (*trusted, *trusted, None, 7)], "doc_id long")
+        raw, target = Counter(buckets("null")), Counter()
+        for i in ids:
+            raw.update(buckets(f"w{i}"))
+            target.update(buckets(f"w{i}") if i in trusted else ())
+        base = math.log((raw.total() + quality_rules.BUCKETS) / (target.total() + quality_rules.BUCKETS))
+        want = [round((math.log((target[b] + 1) / (raw[b] + 1)) + base) * quality_rules.UNIT) for b in range(quality_rules.BUCKETS)]
+        assert quality_rules.log_ratios(docs, labels, "text", "doc_id") == want
+
+
 def test_rules_run_no_python(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     plan = quality_rules.quality_rules(docs, labels.filter("quality = 1"))._jdf.queryExecution().executedPlan().toString()
